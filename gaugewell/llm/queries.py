@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language, mixing, simhash
+from . import byte_bpe, exact_dedup, knn, language, mixing, simhash, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op5_language": language.op5_language,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op7_top_k": knn.op7_top_k,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_simhash": simhash.op10_simhash,
 }
-ORACLES = {"op8_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op7_top_k": knn.SQL, "op8_exact_dedup": exact_dedup.SQL}

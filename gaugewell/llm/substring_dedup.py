@@ -7,9 +7,9 @@ either end. For each window of words that loss is followed from both ends throug
 words alone; the symbol boundary that survives the most rounds is the window's anchor, and the words from there on its
 key. Equal windows therefore always have equal keys, and neighbouring windows share theirs.
 
-Spark rounds then exchange keys: (1) packs of documents send their different keys, and learn which ones other packs
-have too; (2) only windows with such keys are sent, as 96-bit fingerprints of all their words, and each pack learns
-which of them start in a smaller document elsewhere; (3) words covered by such windows go. A key or window sends one
+Spark rounds then exchange names: (1) whole texts by digest, so that all copies but the smallest are settled at once;
+(2) packs of documents send their different keys, and learn which ones other packs have too; (3) only windows with such keys are sent, as 96-bit fingerprints of all their words, and each pack learns
+which of them start in a smaller document elsewhere; (4) words covered by such windows go. A key or window sends one
 entry for each pack, whatever the number of its documents.
 """
 
@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, slices
+from .common import Words, materialize, slices, utf8
 
 #: Words of a window (fixed value of the contract) and of a key; rounds of recompression.
 WINDOW, KEY, ROUNDS = 13, 6, 2
@@ -164,14 +164,23 @@ def _cut(sorted_values: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
 
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze, task, n = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
+    squeeze, task, n = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
     for batch in batches:
         for part in slices(batch, limit=PACK_BYTES):
             sink = pa.BufferOutputStream()
             clean = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text")], ["doc_id", "text"])
             with pa.ipc.new_stream(sink, clean.schema) as out:
                 out.write_batch(clean)
-            yield pa.RecordBatch.from_pydict({"pack": pa.array([task << 32 | n], pa.int64()), "body": pa.array([squeeze.compress(sink.getvalue().to_pybytes())], pa.binary())})
+            data, offsets = utf8(clean.column("text"))
+            raw, offsets = memoryview(data), offsets.tolist()
+            digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True))
+            out = {
+                "pack": pa.array([task << 32 | n], pa.int64()),
+                "body": pa.array([squeeze.compress(sink.getvalue().to_pybytes())], pa.binary()),
+                "ids": pa.array([clean.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                "digests": pa.array([digests], pa.binary()),
+            }
+            yield pa.RecordBatch.from_pydict(out)
             n += 1
 
 
@@ -191,13 +200,27 @@ def _bytes(array: np.ndarray) -> bytes:
     return np.ascontiguousarray(array).tobytes()
 
 
+def _short(keys: np.ndarray) -> bytes:
+    """Keys travel without their two high bytes, of which the bucket knows one: keys only choose what is compared."""
+    return _bytes(keys.view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(_U)[:, 0]
+
+
+_LOW = _U((1 << 48) - 1)
+
+
 def _send_keys(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, body in zip(batch.column("pack").to_pylist(), batch.column("body"), strict=True):
                 keys, _ = _unpack(body.as_py())[0].keys()
                 cuts = _cut(keys, buckets)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([c[0] for c in cuts], pa.int64()), "pack": pa.array([pack] * len(cuts), pa.int64()), "keys": pa.array([_bytes(keys[a:b]) for _, a, b in cuts], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([c[0] for c in cuts], pa.int64()), "pack": pa.array([pack] * len(cuts), pa.int64()), "keys": pa.array([_short(keys[a:b]) for _, a, b in cuts], pa.binary())})
 
     return run
 
@@ -215,16 +238,16 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         yield have
 
 
-def _answers(rows: list[dict], source: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+def _answers(rows: list[dict], source: np.ndarray, values: np.ndarray, packed=_bytes) -> pa.RecordBatch:
     order = np.argsort(source, kind="stable")
     values, (which, begin) = values[order], np.unique(source[order], return_index=True)
     ends = [*begin[1:].tolist(), len(values)]
-    return pa.RecordBatch.from_pydict({"pack": pa.array([rows[i]["pack"] for i in which.tolist()], pa.int64()), "found": pa.array([_bytes(values[a:b]) for a, b in zip(begin.tolist(), ends, strict=True)], pa.binary())})
+    return pa.RecordBatch.from_pydict({"pack": pa.array([rows[i]["pack"] for i in which.tolist()], pa.int64()), "found": pa.array([packed(values[a:b]) for a, b in zip(begin.tolist(), ends, strict=True)], pa.binary())})
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in _by_bucket(batches):
-        parts = [np.frombuffer(r["keys"], _U) for r in rows]
+        parts = [_long(r["keys"]) for r in rows]
         keys, source = np.concatenate(parts), np.repeat(np.arange(len(rows)), [len(p) for p in parts])
         order = np.argsort(keys, kind="stable")
         keys, source = keys[order], source[order]
@@ -233,7 +256,7 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared[1:] |= again
         shared[:-1] |= again
         if shared.any():
-            yield _answers(rows, source[shared], keys[shared])
+            yield _answers(rows, source[shared], keys[shared], _short)
 
 
 def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -247,13 +270,22 @@ def _gathered(found: list[bytes] | None) -> np.ndarray:
     return np.sort(np.frombuffer(b"".join(found or []), _U))
 
 
+def _copies(row: dict, docs: int) -> np.ndarray:
+    """Which documents of a pack are copies of a smaller one."""
+    out = np.zeros(docs, bool)
+    out[row["copies"] or []] = True
+    return out
+
+
 def _send_windows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 pack, ids, rank = _unpack(row["body"])
                 keys, which = pack.keys()
-                wanted = np.flatnonzero(_among(keys, _gathered(row["found"]))[which] & (rank[pack.window_doc] >= 0))
+                asked = _among(keys & _LOW, np.sort(_long(b"".join(row["found"]))))
+                sends = (rank >= 0) & ~_copies(row, len(rank))  # the smallest of equal texts sends for all
+                wanted = np.flatnonzero(asked[which] & sends[pack.window_doc])
                 starts, owner = pack.starts[wanted], rank[pack.window_doc[wanted]]
                 marks, checks = pack.spans(starts, WINDOW), pack.checks(starts)
                 order = np.lexsort((owner, checks, marks))
@@ -307,6 +339,7 @@ def _finish(full: bool):
                 first[1:] = marks[order[1:]] != marks[order[:-1]]
                 least = owner[order[first]][np.cumsum(first) - 1] if len(order) else owner[:0]
                 gone[order[owner[order] > least]] = True
+                gone |= _copies(row, len(rank))[pack.window_doc]
                 n = len(pack.hashes)
                 edge = np.zeros(n + 1, np.int64)
                 np.add.at(edge, pack.starts[gone], 1)
@@ -345,16 +378,22 @@ def deduplicated(docs: DataFrame, full: bool = True) -> DataFrame:
     equal ids are not smaller than each other, and rows with a null id neither lose words nor make others lose any.
     """
     spark = docs.sparkSession
-    packs = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packs, "pack long, body binary"))
+    packs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_packs, "pack long, body binary, ids array<long>, digests binary")
+    packs = materialize(packs)
+    texts = packs.select("pack", "digests", F.posexplode("ids").alias("i", "doc_id")).filter("doc_id is not null")
+    texts = texts.select("pack", "i", "doc_id", F.expr("substring(digests, i * 16 + 1, 16)").alias("digest"))
+    least = texts.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    copies = texts.join(least, "digest").filter("doc_id > least").groupBy("pack").agg(F.collect_list("i").alias("copies"))
+    copies, packs = materialize(copies), packs.select("pack", "body")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), packs.count() // 4)
     keys = packs.mapInArrow(_send_keys(buckets), "bucket long, pack long, keys binary")
     shared = keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, "pack long, found binary")
     shared = shared.groupBy("pack").agg(F.collect_list("found").alias("found"))
-    sent = packs.join(shared, "pack").mapInArrow(_send_windows(buckets), "bucket long, pack long, marks binary, checks binary, owners binary, ids binary")
+    sent = packs.join(shared, "pack").join(copies, "pack", "left").mapInArrow(_send_windows(buckets), "bucket long, pack long, marks binary, checks binary, owners binary, ids binary")
     later = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_later_windows, "pack long, found binary")
     later = later.groupBy("pack").agg(F.collect_list("found").alias("found"))
     schema = "doc_id long, n_words long, n_removed long, " + ("removed array<array<long>>, kept string" if full else "kept_sha256 string")
-    return packs.join(later, "pack", "left").mapInArrow(_finish(full), schema)
+    return packs.join(later, "pack", "left").join(copies, "pack", "left").mapInArrow(_finish(full), schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

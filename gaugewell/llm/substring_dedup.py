@@ -29,6 +29,8 @@ from .common import Words, materialize, slices, utf8
 
 #: Words of a window (fixed value of the contract) and of a key; rounds of recompression.
 WINDOW, KEY, ROUNDS = 13, 6, 2
+#: Parts that each group of equal texts is dealt over.
+SALTS = 16
 #: Bytes of text in a pack; a longer document is a pack alone.
 PACK_BYTES = 2 << 20
 
@@ -383,7 +385,9 @@ def deduplicated(docs: DataFrame, full: bool = True) -> DataFrame:
     texts = packs.select("pack", "digests", F.posexplode("ids").alias("i", "doc_id")).filter("doc_id is not null")
     texts = texts.select("pack", "i", "doc_id", F.expr("substring(digests, i * 16 + 1, 16)").alias("digest"))
     least = texts.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    copies = texts.join(least, "digest").filter("doc_id > least").groupBy("pack").agg(F.collect_list("i").alias("copies"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a large group of copies meets in many tasks
+    salted = texts.withColumn("salt", F.pmod(F.xxhash64("pack", "i"), F.lit(SALTS)).cast("int"))
+    copies = salted.join(least, ["digest", "salt"]).filter("doc_id > least").groupBy("pack").agg(F.collect_list("i").alias("copies"))
     copies, packs = materialize(copies), packs.select("pack", "body")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), packs.count() // 4)
     keys = packs.mapInArrow(_send_keys(buckets), "bucket long, pack long, keys binary")

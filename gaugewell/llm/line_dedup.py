@@ -2,7 +2,7 @@
 
 A rolling hash over the hashes of the last two lines decides after which lines a chunk ends, so boundaries depend on
 what stands there and not on how many lines came before. Chunks of two lines or more whose hash occurs again anywhere
-are compared byte by byte (as keys of a join), and all but the first occurrence go.
+are grouped by a digest and compared byte by byte within the group, and all but the first occurrence go.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from .common import materialize
 
 #: A chunk ends where the rolling hash is divisible by this; factor of the line before.
 MODULUS, FACTOR = 4, 31
+#: Parts that each group of equal chunks is dealt over.
+SALTS = 16
 
 
 def _line_hash(line: Column) -> Column:
@@ -40,10 +42,13 @@ def repeated(docs: DataFrame) -> DataFrame:
     last) or earlier in the document."""
     chunks = chunked(docs).select("doc_id", F.explode(F.filter("chunks", lambda c: c["n"] > 1)).alias("c")).select("doc_id", "c.k", "c.key", "c.body")
     again = materialize(chunks.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"))
-    same = materialize(chunks.join(again, "key"))
+    same = materialize(chunks.join(again, "key").withColumn("digest", F.unhex(F.sha2("body", 256))))
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "k")
-    first = same.groupBy("key", "body").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    return same.join(first, ["key", "body"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "k", "key")
+    one_text = F.min("body") == F.max("body")
+    first = same.groupBy("key", "digest").agg(F.min(place).alias("first"), F.count("*").alias("times"), one_text.alias("equal")).filter("times > 1 and equal")
+    first = first.select("key", "digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a frequent chunk meets in many tasks
+    salted = same.select("doc_id", "k", "key", "digest", F.pmod(F.xxhash64("doc_id", "k"), F.lit(SALTS)).cast("int").alias("salt"))
+    return salted.join(first, ["key", "digest", "salt"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "k", "key")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from .common import slices, text_or_empty
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces whose codes a worker keeps (about 60 MB); beyond it starts anew, which costs time but changes no result.
-KEPT_PIECES = 200_000
+#: Pieces whose codes a worker keeps (about 45 MB); beyond it starts anew, which costs time but changes no result.
+KEPT_PIECES = 150_000
 #: Bytes of text of one corpus.
-CORPUS_BYTES = 6 << 20
+CORPUS_BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -157,11 +157,12 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder_of(ranks: dict[bytes, int], pattern: str) -> Encoder:
-    """An encoder that a worker's later tasks use again."""
+    """An encoder that a worker's later tasks use again, but for its pieces: they go with the task, to free memory."""
     key = (hashlib.sha256(b"".join(b"%d %b\n" % (rank, token) for token, rank in ranks.items())).hexdigest(), pattern)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(ranks, pattern)
+    _ENCODERS[key].codes = {}
     return _ENCODERS[key]
 
 
@@ -183,6 +184,7 @@ def _digests(ranks: dict[bytes, int], pattern: str):
                     "decoded_sha256": pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]),
                 }
                 yield pa.RecordBatch.from_pydict(out)
+        encoder.codes = {}
 
     return run
 
@@ -196,6 +198,7 @@ def _ids(ranks: dict[bytes, int], pattern: str):
                 offsets = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
                 ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
+        encoder.codes = {}
 
     return run
 

@@ -38,7 +38,7 @@ class MergeReplay:
     """Codes of pieces under ``ranks``, the tokens' bytes by rank; every single byte must be a token."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)])
+        self.ranks, self.byte = ranks, np.array([ranks[bytes([b])] for b in range(256)])
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
@@ -64,7 +64,13 @@ class MergeReplay:
         return np.where(self.keys[at] == key, self.values[at], -1)
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
-        """Codes of each piece as little-endian unsigned 32-bit integers."""
+        """Codes of each piece as little-endian unsigned 32-bit integers. A piece that is a token is that token, even
+        where no merges lead to it."""
+        whole = [self.ranks.get(p) for p in pieces]
+        rest = iter(self._merge([p for p, rank in zip(pieces, whole, strict=True) if rank is None]))
+        return [next(rest) if rank is None else rank.to_bytes(4, "little") for rank in whole]
+
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
         if not pieces:
             return []
         text = np.frombuffer(b"".join(pieces), np.uint8)
@@ -107,23 +113,35 @@ class MergeReplay:
             at = at[pair[at] == now]  # elsewhere a neighbour's merge took one of the pair's tokens
             if not len(at):
                 continue
-            own = owner[at]
-            leftmost = np.concatenate(([True], own[1:] != own[:-1]))  # one merge of a piece at a time: it may make a pair of lower rank
-            if not leftmost.all():
-                index[now] = [at[~leftmost]]
+            valid = at
+            gone, right, left = after[at], after[after[at]], before[at]
+            chained = gone[:-1] == at[1:]
+            if chained.any():  # of pairs that overlap (a run of one token), every other one from the left
+                step = np.arange(len(at))
+                take = (step - np.maximum.accumulate(np.where(np.concatenate(([True], ~chained)), step, 0))) % 2 == 0
+                at, gone, right, left = at[take], gone[take], right[take], left[take]
+            # merges of a piece go from the left until one makes a pair of lower rank, which has to be merged before the rest
+            beside = np.concatenate(([False], (right[:-1] == at[1:])))  # the left neighbour is the merge just before
+            from_left = np.where(left >= 0, self.merged(np.where(beside, now, symbol[left]), now), -1)
+            to_right = np.where(right >= 0, self.merged(now, symbol[right]), -1)
+            lower = ((from_left >= 0) & (from_left < now)) | ((to_right >= 0) & (to_right < now))
+            if lower.any():
+                own = owner[at]
+                earlier = np.cumsum(lower) - lower
+                first_of = np.concatenate(([True], own[1:] != own[:-1]))
+                go = earlier == np.maximum.accumulate(np.where(first_of, earlier, 0))
+                index[now] = [valid]
                 heapq.heappush(heap, now)
-                at = at[leftmost]
-            gone = after[at]
-            right = after[gone]
-            symbol[at], after[at], pair[gone], pair[at] = now, right, -2, -1
-            some = right >= 0
-            at_right, right = at[some], right[some]
-            before[right] = at_right
+                at, gone, right = at[go], gone[go], right[go]
+            symbol[at], after[at], pair[gone] = now, right, -2
+            before[right[right >= 0]] = at[right >= 0]
             left = before[at]
-            left = left[left >= 0]
-            new_right, new_left = self.merged(now, symbol[right]), self.merged(symbol[left], now)
-            pair[at_right], pair[left] = new_right, new_left
-            add(np.concatenate([new_right, new_left]), np.concatenate([at_right, left]))
+            apart = np.concatenate(([True], left[1:] != at[:-1]))
+            touched = np.concatenate([at, left[apart & (left >= 0)]])
+            follow = after[touched]
+            ranks = np.where(follow >= 0, self.merged(symbol[touched], symbol[follow]), -1)
+            pair[touched] = ranks
+            add(ranks, touched)
         kept = pair != -2
         held = np.concatenate(([0], np.cumsum(kept)))
         raw = symbol[kept].astype("<u4").tobytes()

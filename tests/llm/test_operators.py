@@ -283,6 +283,22 @@ def test_lower_rank_after_a_merge():
         assert np.frombuffer(encoder.encode_batch([text])[0], "<u4").tolist() == library.encode_ordinary(text)
 
 
+@given(st.lists(st.text("xyz", max_size=30), max_size=4), st.dictionaries(st.text("xyz", min_size=2, max_size=5), st.integers(1, 999), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_bpe_of_any_ranks(batch, merges):
+    order = sorted(merges, key=lambda m: (merges[m], m))
+    ranks = {bytes([b]): b + 100 for b in range(256)} | {m.encode(): i if i < 100 else i + 300 for i, m in enumerate(order)}
+    library = tiktoken.Encoding("any", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    for text, raw in zip(batch, byte_bpe.Encoder(ranks, r"\S+|\s+").encode_batch(batch)):
+        assert np.frombuffer(raw, "<u4").tolist() == library.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", ["a" * 300_001, "ab" * 100_000, "\u00e9" * 99_999, " " * 200_000], ids=["run", "pairs", "accents", "blanks"])
+def test_bpe_of_one_long_piece(text):
+    ids = np.frombuffer(byte_bpe.Encoder(RANKS).encode_batch([text])[0], "<u4")
+    assert ids.tolist() == LIBRARY.encode_ordinary(text)
+
+
 def test_bpe_round_trip(docs, rows):
     expected = []
     for r in rows:

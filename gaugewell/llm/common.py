@@ -104,7 +104,8 @@ class Words:
         lengths = self.ends - self.starts
         begin = np.concatenate(([0], np.cumsum(lengths + 1)))
         out = np.full(begin[-1], 0x20, np.uint8)
-        inside = np.repeat(np.arange(len(lengths)), lengths)
+        inside = np.ones(begin[-1], bool)
+        inside[begin[1:] - 1] = False
         kept = self.data[self.solid]
-        out[np.arange(len(kept)) + inside] = kept if table is None else table[kept]
+        out[inside] = kept if table is None else table[kept]
         return out.tobytes(), begin[:-1], begin[:-1] + lengths

@@ -22,8 +22,8 @@ from .common import Words, materialize, slices
 
 #: Bits that may differ, words of a shingle, seed of XXH64 (fixed values of the contract); fingerprints of a tile, about.
 RADIUS, SHINGLE, SEED, TILE = 3, 3, 42, 2048
-#: Elements of one block of the comparison, so about 20 MB of a worker's memory.
-BLOCK = 1 << 20
+#: Elements of one block of the comparison, so about 20 MB of a worker's memory; shingles whose bits are counted at once.
+BLOCK, COUNTED = 1 << 20, 1 << 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -39,12 +39,17 @@ def fingerprints_of(column: pa.Array) -> np.ndarray:
     begins = np.arange(last[-1] if len(last) else 0) + np.repeat(first - (last - each), each)  # word where each shingle begins
     ends = begins + np.repeat(np.minimum(counts, SHINGLE), each) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(text[a:b], SEED) for a, b in zip(begin[begins].tolist(), end[ends].tolist(), strict=True)), np.uint64, len(begins))
     out = np.zeros(len(counts), np.uint64)
     some = np.flatnonzero(each)
-    if len(some):
+    ones, owner = np.zeros((len(some), 64), np.int64), np.repeat(np.arange(len(some)), each[some])
+    for low in range(0, len(begins), COUNTED):  # a document of any length is counted part by part
+        part = slice(low, low + COUNTED)
+        spans = zip(begin[begins[part]].tolist(), end[ends[part]].tolist(), strict=True)
+        hashes = np.fromiter((digest(text[a:b], SEED) for a, b in spans), np.uint64)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, (last - each)[some], axis=0, dtype=np.int64)
+        own, at = np.unique(owner[part], return_index=True)
+        ones[own] += np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+    if len(some):
         out[some] = np.packbits(2 * ones > each[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 

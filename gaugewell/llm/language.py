@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import SLICE_BYTES, slices, utf8
 
 #: Buckets of trigrams, added to each count, iterations of a fit, languages of a model at most (the most frequent ones).
 BUCKETS, SMOOTHING, ITERATIONS, MOST_LANGUAGES = 1 << 15, 0.1, 10, 256
@@ -173,10 +173,11 @@ def train(docs: DataFrame) -> Model:
 
 def _predict(model: Model, keep: bool):
     names = np.array([*model.languages, UNKNOWN], object)
+    limit = SLICE_BYTES * 4 // max(4, len(model.languages))  # a fit holds a number for each trigram and language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "__text"):
+            for part in slices(batch, "__text", limit):
                 best, score = model.predict(part.column("__text"))
                 unknown = ~part.column("__letter").to_numpy(zero_copy_only=False) | (best < 0)
                 best[unknown], score[unknown] = len(names) - 1, 0.0

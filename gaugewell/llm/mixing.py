@@ -144,10 +144,10 @@ def draw_documents(rows: DataFrame, draws: DataFrame) -> DataFrame:
     """doc_id, order, position, epoch, shard for every time that the mix takes a document.
 
     A block holds about ``block_words`` words whatever its source holds, so the one partly taken block of a source is
-    a bounded group.
+    a bounded group once documents without words, of which there may be any number, are left out.
     """
     whole = rows.join(draws.filter("not partial").drop("partial", "fill"), ["position", "block"])
-    part = rows.join(draws.filter("partial"), ["position", "block"])
+    part = rows.filter("size > 0").join(draws.filter("partial"), ["position", "block"])
     part = part.groupBy("position", "block").applyInPandas(_fill, "doc_id long, order long, position long, block long, epoch int, shard int")
     names = ["doc_id", "order", "position", "epoch", "shard"]
     return whole.select(names).unionByName(part.select(names))
@@ -163,7 +163,7 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     """
     rows, sources, draws = plan(docs, **options)
     epochs = draws.filter("not partial").groupBy("position", "block").agg(F.count("*").alias("times"))
-    part = rows.join(draws.filter("partial"), ["position", "block"])
+    part = rows.filter("size > 0").join(draws.filter("partial"), ["position", "block"])
     part = part.select(F.col("row").alias("doc_id"), "order", "size", "position", "block", "epoch", "shard", "fill")
     chosen = part.groupBy("position", "block").applyInPandas(_fill, "doc_id long, order long, position long, block long, epoch int, shard int")
     chosen = chosen.select(F.col("doc_id").alias("row"), F.lit(1).alias("extra"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of a candidate and its shortest length; characters of context before it; labelled findings of ``labelled``.
-TOKEN, SHORTEST, CONTEXT, FINDINGS = r"A-Za-z0-9+/_=\-", 16, 64, 4000
+TOKEN, SHORTEST, CONTEXT, FINDINGS = r"A-Za-z0-9+/_\-", 16, 64, 4000
 TREES, DEPTH, THRESHOLD, SEED = 20, 7, 0.5, 42
 
 #: Frequent words and syllables of prose and code, for dictionary coverage.
@@ -36,7 +36,7 @@ FEATURES = ["length", "digits", "uppers", "hexes", "different", "transitions", "
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """doc_id, path, token, start (from 0, in characters), before: each different token of a document where it first
     stands. Null and empty texts have none."""
-    run = rf"(?<![{TOKEN}])[{TOKEN}]{{{SHORTEST},}}"
+    run = rf"(?<![{TOKEN}])[{TOKEN}]{{{SHORTEST},}}={{0,2}}"
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     found = docs.select("doc_id", where.alias("path"), F.col("text").cast("string"))
     found = found.withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(run), 0))))

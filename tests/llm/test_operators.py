@@ -169,6 +169,14 @@ def test_simhash(docs, rows):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(least.values())
 
 
+def test_fingerprints_counted_in_parts(monkeypatch):
+    texts = pa.array(["", "a b", None, " ".join(f"w{i % 37}" for i in range(500)), "x", "one two three four"])
+    whole = simhash.fingerprints_of(texts).tolist()
+    for part in (1, 3, 64):
+        monkeypatch.setattr(simhash, "COUNTED", part)
+        assert simhash.fingerprints_of(texts).tolist() == whole
+
+
 def test_links_in_a_dense_group(spark):
     rng = random.Random(3)
     marks = {rng.getrandbits(64) for _ in range(300)}

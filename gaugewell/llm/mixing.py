@@ -102,8 +102,9 @@ def plan(docs: DataFrame, shards: int | None = None, block_words: int = 1 << 16,
     rows = rows.join(known, rows.source.eqNullSafe(known.source)).drop(known.source)
     rows = rows.withColumn("block", F.pmod("order", "blocks")).drop("blocks")
 
-    # cumulative words over the permuted blocks of a source; the last block that the target reaches is taken in part
-    sums = rows.groupBy("position", "block").agg(F.sum("size").alias("words"))
+    # cumulative words over the permuted blocks of a source; the block in which the target falls is taken in part
+    least = F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")
+    sums = rows.groupBy("position", "block").agg(F.sum("size").alias("words"), least)
     turn = W.partitionBy("position").orderBy(F.xxhash64("position", "block", F.lit(seed)), "block")
     sums = sums.withColumn("nth", F.row_number().over(turn) - 1).withColumn("before", F.coalesce(F.sum("words").over(turn.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     aim = F.broadcast(sources.select("position", "source_size", "target"))
@@ -112,8 +113,10 @@ def plan(docs: DataFrame, shards: int | None = None, block_words: int = 1 << 16,
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size") + 1e-12), F.lit(int(MOST_EPOCHS)))).otherwise(0))
         .withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 1e-6).cast("long"))
         .withColumn("fill", F.least(F.greatest(F.col("rest") - F.col("before"), F.lit(0)), F.col("words")))
-        .select("position", "block", "nth", "words", "epochs", "fill")
+        .select("position", "block", "nth", "words", "least", "epochs", "fill")
     )
+    further = _carried(rows, sums)
+    sums = sums.join(further, ["position", "block"], "left").withColumn("fill", F.coalesce("carried", "fill"))
     draw = sums.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs").cast("int")))).filter("epoch < epochs or fill > 0")
     draw = draw.withColumn("partial", (F.col("epoch") == F.col("epochs")) & (F.col("fill") < F.col("words")))
 
@@ -129,7 +132,41 @@ def plan(docs: DataFrame, shards: int | None = None, block_words: int = 1 << 16,
     return rows, sources, materialize(draws)
 
 
+def _carried(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """position, block, carried: words that blocks behind a partly taken one get of what did not fit there.
+
+    In each round every source that still has words left goes on in the order of its blocks: blocks without a document
+    that fits are passed, whole blocks are taken while they fit, and the next one in part. A source ends when no
+    document behind is small enough. The driver holds the partly taken block of each source and the blocks added.
+    """
+    spark, out = rows.sparkSession, []
+    blocks = "position long, block long, nth long, fill long"
+    part = [tuple(r) for r in sums.filter("fill > 0 and fill < words").select("position", "block", "nth", "fill").collect()]
+    while part:
+        filled = rows.filter("size > 0").join(F.broadcast(spark.createDataFrame(part, blocks)), ["position", "block"])
+        left = filled.groupBy("position", "block").applyInPandas(_left, "position long, after long, left long").filter("left > 0").collect()
+        if not left:
+            break
+        rest = F.broadcast(spark.createDataFrame([tuple(r) for r in left], "position long, after long, left long"))
+        fits = sums.join(rest, "position").filter("nth > after and least <= left")
+        upto = F.sum("words").over(W.partitionBy("position").orderBy("nth").rowsBetween(W.unboundedPreceding, 0))
+        fits = fits.withColumn("fill", F.least("words", F.col("left") - upto + F.col("words"))).filter("fill > 0")
+        found = fits.select("position", "block", "nth", "fill", "words").collect()
+        out += [(r.position, r.block, r.fill) for r in found]
+        part = [(r.position, r.block, r.nth, r.fill) for r in found if r.fill < r.words]
+    return spark.createDataFrame(out, "position long, block long, carried long")
+
+
+def _left(pdf):
+    """What documents of one partly taken block leave of its words."""
+    return pdf.head(1)[["position", "nth"]].rename(columns={"nth": "after"}).assign(left=int(pdf["fill"].iloc[0]) - int(_chosen(pdf)["size"].sum()))
+
+
 def _fill(pdf):
+    return _chosen(pdf)[["doc_id", "order", "position", "block", "epoch", "shard"]]
+
+
+def _chosen(pdf):
     """Of one partly taken block: documents in their random order, each taken if it still fits."""
     pdf = pdf.sort_values(["order", "doc_id", "size"], na_position="last", kind="stable")
     left, chosen = int(pdf["fill"].iloc[0]), []
@@ -137,13 +174,13 @@ def _fill(pdf):
         chosen.append(size <= left)
         left -= size * chosen[-1]
     pdf["chosen"] = chosen
-    return pdf.loc[pdf["chosen"], ["doc_id", "order", "position", "block", "epoch", "shard"]]
+    return pdf.loc[pdf["chosen"]]
 
 
 def draw_documents(rows: DataFrame, draws: DataFrame) -> DataFrame:
     """doc_id, order, position, epoch, shard for every time that the mix takes a document.
 
-    A block holds about ``block_words`` words whatever its source holds, so the one partly taken block of a source is
+    A block holds about ``block_words`` words whatever its source holds, so each partly taken block of a source is
     a bounded group once documents without words, of which there may be any number, are left out.
     """
     whole = rows.join(draws.filter("not partial").drop("partial", "fill"), ["position", "block"])

@@ -130,6 +130,22 @@ def test_mix_meets_targets(spark):
     assert ((sums.target - sums.taken).abs() <= 30).all()
 
 
+def test_mix_goes_on_behind_a_long_document(spark):
+    """A document that does not fit ends neither its block nor its source: what is left is less than any later one."""
+    sizes = [(7, 1), (20000, 3), (400, 300), (9, 40)]
+    rows = [(i, "w " * n, s) for s in ("s0", "s1", "s2") for i, n in enumerate([n for n, times in sizes for _ in range(times)])]
+    df = spark.createDataFrame([(k, t, s) for k, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string")
+    short = 0
+    for seed in range(4):
+        found = mixing.mix_counts(df, block_words=4000, seed=seed).toPandas().merge(df.select("doc_id", "source").toPandas())
+        for _, g in found.groupby("source"):
+            assert g.taken.sum() <= g.target.iloc[0] + 1e-6
+            short = max(short, g.target.iloc[0] - g.taken.sum())
+        mixed = mixing.mixed(df, block_words=4000, seed=seed)
+        assert sum(len(r.text.split()) for r in mixed.select("text").collect()) == found.taken.sum()
+    assert short < 400
+
+
 # -- SimHash --------------------------------------------------------------------------------------------------------
 
 

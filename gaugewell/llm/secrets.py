@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a candidate and its shortest length; characters of context before it; labelled findings of ``labelled``.
 TOKEN, SHORTEST, CONTEXT, FINDINGS = r"A-Za-z0-9+/_\-", 16, 64, 4000
+#: Tokens that are placed at once; tokens that the context reaches back over at most.
+PART, REACH = 512, -(-CONTEXT // SHORTEST)
 TREES, DEPTH, THRESHOLD, SEED = 20, 7, 0.5, 42
 
 #: Frequent words and syllables of prose and code, for dictionary coverage.
@@ -34,15 +36,44 @@ FEATURES = ["length", "digits", "uppers", "hexes", "different", "transitions", "
 
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, path, token, start (from 0, in characters), before: each different token of a document where it first
-    stands. Null and empty texts have none."""
+    """doc_id, path, token, start (from 0, in characters), before: every token at every place where it stands. Null
+    and empty texts have none.
+
+    The text is parted by the same pattern, so starts are sums of lengths. Tokens go on in parts of PART, which keeps
+    the work on a long document in proportion to its length.
+    """
     run = rf"(?<![{TOKEN}])[{TOKEN}]{{{SHORTEST},}}={{0,2}}"
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
-    found = docs.select("doc_id", where.alias("path"), F.col("text").cast("string"))
-    found = found.withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(run), 0))))
-    found = found.withColumn("start", F.instr("text", F.col("token")) - 1)
-    first = F.greatest(F.col("start") - CONTEXT, F.lit(0))
-    return found.select("doc_id", "path", "token", "start", F.substring("text", first + 1, F.col("start") - first).alias("before"))
+    text = F.col("text").cast("string")
+    found = docs.select("doc_id", where.alias("path"), F.regexp_extract_all(text, F.lit(run), 0).alias("tokens"), F.split(text, run, -1).alias("gaps"))
+    found = found.withColumn("steps", F.zip_with("gaps", "tokens", lambda g, t: (F.length(g) + F.coalesce(F.length(t), F.lit(0))).cast("long")))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+    firsts = F.filter(F.sequence(F.lit(0), F.size("tokens"), F.lit(PART)), lambda i: i < F.size("tokens"))
+    found = found.withColumn("parts", F.transform(firsts, lambda i: F.struct(i.alias("first"), total(F.slice("steps", i + 1, PART)).alias("length"))))
+    # the context of a part's first tokens reaches back over REACH tokens at most
+    back = lambda i: F.greatest(i - REACH, F.lit(0))
+    cut = lambda xs, i: F.slice(xs, back(i) + 1, i - back(i) + PART)
+    part = F.transform(
+        "parts",
+        lambda p, k: F.struct(
+            F.aggregate(F.slice("parts", 1, k), F.lit(0).cast("long"), lambda a, q: a + q["length"]).alias("offset"),
+            (p["first"] - back(p["first"])).alias("skip"),
+            cut("tokens", p["first"]).alias("tokens"),
+            F.transform(cut("gaps", p["first"]), lambda g: F.struct(F.length(g).alias("n"), F.right(g, F.lit(CONTEXT)).alias("tail"))).alias("gaps"),
+            F.slice("steps", p["first"] + 1, PART).alias("steps"),
+        ),
+    )
+    parts = found.select("doc_id", "path", F.explode(part).alias("p")).select("doc_id", "path", "p.*")
+    begins = F.aggregate("steps", F.array("offset"), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+    parts = parts.select("doc_id", "path", "skip", "tokens", "gaps", begins.alias("begins"))
+    tail = lambda j: F.coalesce(F.get("gaps", j)["tail"], F.lit(""))
+    ending = lambda j: F.coalesce(F.right(F.get("tokens", j), F.lit(CONTEXT)), F.lit(""))
+    before = lambda j: F.right(F.concat(*[f(j - d) for d in range(REACH, 0, -1) for f in (tail, ending)], tail(j)), F.lit(CONTEXT))
+    each = F.transform(
+        F.sequence(F.col("skip"), F.size("tokens") - 1),
+        lambda j: F.struct(F.get("tokens", j).alias("token"), (F.get("begins", j - F.col("skip")) + F.get("gaps", j)["n"]).alias("start"), before(j).alias("before")),
+    )
+    return parts.select("doc_id", "path", F.explode(each).alias("t")).select("doc_id", "path", "t.token", "t.start", "t.before")
 
 
 def features(found: DataFrame) -> DataFrame:

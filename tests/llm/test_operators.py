@@ -403,6 +403,20 @@ def test_secrets(spark):
     assert scored.filter("prediction = label").count() / 2000 > 0.97
 
 
+def test_secrets_at_every_place(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PART", 3, raising=False)
+    key = hashlib.sha1(b"k").hexdigest()
+    rng = random.Random(3)
+    dense = "".join(rng.choice(["é ", "=", "\n", " x = ", "漢" * 70, ""]) + rng.choice([key, "A" * 16 + "==", "b-" * 40, key[:15]]) for _ in range(60))
+    rows = [(1, f'see commit {key} here, then api_key = "{key}"'), (2, f"é{key}0 is longer than {key}"), (3, None), (4, ""), (5, dense), (6, key), (6, key)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    run = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
+    expected = [(i, m[0], m.start(), t[max(0, m.start() - 64) : m.start()]) for i, t in rows for m in run.finditer(t or "")]
+    assert ordered(secrets.candidates(df), "doc_id", "token", "start", "before") == sorted(expected, key=repr)
+    found = [r.secret for r in secrets.scan(df, secrets.train(secrets.labelled(spark))).filter("doc_id = 1").orderBy("start").collect()]
+    assert found == [False, True]
+
+
 def test_licenses(spark):
     text = lambda n: licenses.TEMPLATES[n]
     rows = [(1, f"some words. {text('Apache-2.0')} more words"), (2, f"x {text('MIT')} y"), (3, None), (4, ""), (5, "the license of this song is mine, permission or not"), (6, text("GPL-3.0").replace("version 3", "version 9")), (7, text("GPL-2.0").upper() + " " + text("CC-BY-NC-4.0")), (8, text("MIT").replace("free of charge,", "at no cost,").replace("Software", "Program"))]

@@ -141,6 +141,20 @@ def test_density_clusters_two_blobs(spark):
     assert len(far) == 121
 
 
+def test_density_by_pairs_of_blocks_fits_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 0.2, (150, 3)), rng.normal(3, 0.4, (120, 3)), rng.normal(-4, 0.1, (25, 3)), rng.uniform(-9, 9, (30, 3))])
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(f"j{i:03d}", *map(float, v)) for i, v in enumerate(x)], "job_name string, a double, b double, c double").repartition(4)
+    for least, samples in ((15, 4), (None, None)):
+        one = cluster.fit_density(df, "job_name", ["a", "b", "c"], least, samples).toPandas().sort_values("job_name")
+        for rows in (60, 101):
+            many = cluster.fit_density(df, "job_name", ["a", "b", "c"], least, samples, fit_rows=rows).toPandas().sort_values("job_name")
+            assert many.cluster_id.tolist() == one.cluster_id.tolist() and one.cluster_id.max() >= 2
+            for c in ("cluster_probability", "cluster_persistence"):
+                assert np.allclose(many[c].to_numpy(float), one[c].to_numpy(float), atol=1e-6, equal_nan=True)
+
+
 def test_metrics_on_closed_forms(spark):
     x, labels = np.array([[0.0], [1.0], [10.0], [11.0]]), np.array([0, 0, 1, 1])
     expected = np.mean([1 - 1 / 10.5, 1 - 1 / 9.5, 1 - 1 / 9.5, 1 - 1 / 10.5])

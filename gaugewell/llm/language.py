@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, slices, utf8
 
-#: Buckets of trigrams, added to each count, iterations of a fit, languages of a model at most (the most frequent ones).
-BUCKETS, SMOOTHING, ITERATIONS, MOST_LANGUAGES = 1 << 15, 0.1, 10, 256
+#: Buckets of trigrams, added to each count, iterations of a fit.
+BUCKETS, SMOOTHING, ITERATIONS = 1 << 15, 0.1, 10
+#: Languages up to which the likelihoods are one full table; with more, counts are kept sparse and a document's
+#: likelihoods are made in parts of so many numbers.
+DENSE_LANGUAGES, NUMBERS = 256, 1 << 22
 #: Each character is in three trigrams, so log-likelihoods count a third; weight of the penalty log(n)/2 for a language.
 OVERLAP, PENALTY = 3.0, 3.0
 UNKNOWN = "und"
@@ -90,10 +93,34 @@ def held_out(name: str = "doc_id") -> Column:
 
 
 class Model:
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
-        smooth = counts + SMOOTHING
-        self.likelihood = np.ascontiguousarray((smooth / smooth.sum(axis=1, keepdims=True)).T)  # buckets x languages
+    """Likelihoods of trigrams in any number of languages, from the counts that are not 0 (language, bucket, n)."""
+
+    def __init__(self, languages: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        self.languages, self.likelihood = languages, None
+        order = np.lexsort((lang, bucket))
+        self.lang, self.n = lang[order].astype(np.int32), n[order]
+        self.begin = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        by_lang = np.argsort(lang, kind="stable")
+        ends = np.searchsorted(lang[by_lang], np.arange(len(languages) + 1))
+        self.total = np.empty(len(languages))
+        for i in range(len(languages)):
+            row, own = np.zeros(BUCKETS), by_lang[ends[i] : ends[i + 1]]
+            row[bucket[own]] = n[own]
+            self.total[i] = (row + SMOOTHING).sum()
+        if len(languages) <= DENSE_LANGUAGES:
+            self.likelihood = self.rows(np.arange(BUCKETS))  # buckets x languages
+
+    def rows(self, key: np.ndarray) -> np.ndarray:
+        """The likelihoods of some buckets in all languages."""
+        if self.likelihood is not None:
+            return self.likelihood[key]
+        sizes = self.begin[key + 1] - self.begin[key]
+        at = np.repeat(self.begin[key] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        out = np.zeros((len(key), len(self.languages)))
+        out[np.repeat(np.arange(len(key)), sizes), self.lang[at]] = self.n[at]
+        out += SMOOTHING
+        out /= self.total
+        return out
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The language's number and score of each document; -1 without trigrams or languages."""
@@ -102,12 +129,18 @@ class Model:
         best, score = np.full(docs, -1), np.zeros(docs)
         if not len(self.languages) or not len(some):
             return best, score
-        p, starts, sizes = self.likelihood[key], begin[some], np.diff(begin)[some]
+        starts, sizes = begin[some], np.diff(begin)[some]
         total = np.add.reduceat(count, starts)
-        fit = Fit(p, count, starts, sizes, total)
+        if self.likelihood is not None:
+            p = self.rows(key)
+            fit = Fit(p, count, starts, sizes, total)
+            alone = np.add.reduceat(np.log(p) * count[:, None], starts, axis=0)
+        else:
+            fit = PartFit(self.rows, key, count, starts, sizes, total)
+            alone = fit.alone(len(self.languages))
         share, _ = fit.run(np.ones((len(some), len(self.languages)), bool), ITERATIONS)
         order = np.argsort(-share, axis=1, kind="stable")
-        single = np.add.reduceat(np.log(p) * count[:, None], starts, axis=0) / OVERLAP
+        single = alone / OVERLAP
         order[:, 0], keep = single.argmax(axis=1), order[:, 0].copy()
         swap = order[:, 1:] == order[:, :1]  # the likeliest alone leads; what it displaced takes its place
         order[:, 1:] = np.where(swap, keep[:, None], order[:, 1:])
@@ -156,19 +189,58 @@ class Fit:
         return share, np.add.reduceat(self.count * np.log(mixed), self.starts)
 
 
+class PartFit:
+    """The same for models whose likelihoods don't fit at once: ``rows`` makes those of a part of the trigrams."""
+
+    def __init__(self, rows, key, count, starts, sizes, total):
+        self.rows, self.key, self.count, self.starts, self.sizes, self.total = rows, key, count, starts, sizes, total
+
+    def of(self, docs: np.ndarray) -> PartFit:
+        sizes = self.sizes[docs]
+        starts = np.cumsum(sizes) - sizes
+        at = np.repeat(self.starts[docs] - starts, sizes) + np.arange(sizes.sum())
+        return PartFit(self.rows, self.key[at], self.count[at], starts, sizes, self.total[docs])
+
+    def parts(self, languages: int):
+        """(document, likelihoods, counts) of parts of one document at a time."""
+        step = max(1, NUMBERS // languages)
+        for d, (start, size) in enumerate(zip(self.starts.tolist(), self.sizes.tolist(), strict=True)):
+            for low in range(start, start + size, step):
+                part = slice(low, min(low + step, start + size))
+                yield d, self.rows(self.key[part]), self.count[part]
+
+    def alone(self, languages: int) -> np.ndarray:
+        out = np.zeros((len(self.sizes), languages))
+        for d, p, count in self.parts(languages):
+            out[d] += count @ np.log(p)
+        return out
+
+    def run(self, allowed: np.ndarray, iterations: int) -> tuple[np.ndarray, np.ndarray]:
+        share = allowed / allowed.sum(axis=1, keepdims=True)
+        for _ in range(iterations):
+            new = np.zeros_like(share)
+            for d, p, count in self.parts(share.shape[1]):
+                new[d] += share[d] * ((count / (p @ share[d])) @ p)
+            share = new / self.total[:, None]
+        logl = np.zeros(len(self.sizes))
+        for d, p, count in self.parts(share.shape[1]):
+            logl[d] += count @ np.log(p @ share[d])
+        return share, logl
+
+
 def train(docs: DataFrame) -> Model:
-    """A model from every row of ``docs`` with text and lang. Counts are summed on the executors; the driver gets the
-    table of languages and buckets, at most MOST_LANGUAGES x BUCKETS numbers whatever the corpus holds."""
+    """A model from every row of ``docs`` with text and lang, of all languages. Counts are summed on the executors; the
+    driver gets those that are not 0, at most BUCKETS for each language however long the corpus is."""
     rows = docs.filter("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
     counts = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    packed = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.collect_list(F.struct("bucket", "n")).alias("bins"))
-    table = packed.orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES).collect()
-    table = sorted(table, key=lambda r: r.lang)
-    out = np.zeros((len(table), BUCKETS))
-    for i, r in enumerate(table):
-        bins = np.array(r.bins).reshape(-1, 2)
-        out[i, bins[:, 0]] = bins[:, 1]
-    return Model([r.lang for r in table], out)
+    table = counts.filter("n > 0").toArrow()
+    names = table.column("lang").combine_chunks().dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
+    known = names.dictionary.to_pylist()
+    languages = sorted(known)
+    number = {x: i for i, x in enumerate(languages)}
+    place = np.array([number[x] for x in known], np.int64)
+    lang = place[names.indices.to_numpy(zero_copy_only=False)] if len(known) else np.empty(0, np.int64)
+    return Model(languages, lang, table.column("bucket").to_numpy(), table.column("n").to_numpy())
 
 
 def _predict(model: Model, keep: bool):

@@ -282,6 +282,32 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(df, none).collect()} == {"und"}
 
 
+def test_language_of_many(spark):
+    """300 languages, the last one by far the rarest: all are learned, and sparse parts predict what the full table does."""
+    rng = random.Random(4)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for _ in range(300)]
+    rows = [(i * 10 + j, " ".join(rng.choice(words[i]) for _ in range(4 if i == 299 else 15)), f"l{i:03d}") for i in range(300) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.train(df)
+    assert len(model.languages) == 300 and model.likelihood is None
+    found = {r.doc_id: r.lang_pred for r in language.identify(df, model).collect()}
+    assert all(found[i] == lang for i, _, lang in rows if lang == "l299") and np.mean([found[i] == lang for i, _, lang in rows]) > 0.99
+
+
+def test_sparse_model_equals_the_full_one(spark, monkeypatch):
+    rng = random.Random(6)
+    syllables = [["tion", "ing", "the", "er"], ["heit", "ung", "sch", "ein"], ["ci", "nar", "ue", "lla"]]
+    texts = [" ".join("".join(rng.choice(syllables[k]) for _ in range(3)) for k in [rng.choice([i % 3, (i + i % 2) % 3]) for _ in range(1 + i)]) for i in range(60)]
+    df = spark.createDataFrame([(t, "abc"[i % 3]) for i, t in enumerate(texts)], "text string, lang string")
+    full, column = language.train(df), pa.array([*texts, "", None, "12"])
+    monkeypatch.setattr(language, "DENSE_LANGUAGES", 0)
+    monkeypatch.setattr(language, "NUMBERS", 60)
+    sparse = language.train(df)
+    assert full.likelihood is not None and sparse.likelihood is None
+    (a, x), (b, y) = full.predict(column), sparse.predict(column)
+    assert a.tolist() == b.tolist() and np.allclose(x, y, atol=1e-9)
+
+
 # -- BPE --------------------------------------------------------------------------------------------------------------
 
 RANKS = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.VOCABULARY))

@@ -99,6 +99,11 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def array(self) -> pa.Array:
+        """The words as one Arrow array of bytes."""
+        ends = np.concatenate(([0], np.cumsum(self.ends - self.starts)))
+        return pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(self.data[self.solid]))])
+
     def joined(self, table: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray]:
         """All words, each followed by one space, and where each begins and ends; ``table`` maps bytes."""
         lengths = self.ends - self.starts

@@ -238,9 +238,8 @@ def brute_substrings(rows):
 
 
 @pytest.mark.parametrize("bytes_in_pack", [300, 1 << 20])
-def test_substring_dedup(docs, rows, monkeypatch, bytes_in_pack):
-    monkeypatch.setattr(substring_dedup, "PACK_BYTES", bytes_in_pack)
-    found = substring_dedup.deduplicated(docs)
+def test_substring_dedup(docs, rows, bytes_in_pack):
+    found = substring_dedup.deduplicated(docs, pack_bytes=bytes_in_pack)
     assert ordered(found, "doc_id", "n_words", "n_removed", "kept") == sorted(brute_substrings(rows), key=repr)
     for r in found.collect():
         assert sum(b - a for a, b in r.removed) == r.n_removed
@@ -253,13 +252,34 @@ def test_equal_windows_have_equal_keys(fillers, passage, at):
     pack = substring_dedup.Pack(pa.array(docs))
     place = pack.anchors()
     assert (place >= pack.starts).all() and (place <= pack.starts + substring_dedup.WINDOW - substring_dedup.KEY).all()
-    keys = pack.spans(place, substring_dedup.KEY)
-    marks = pack.fingerprints()
+    keys = pack.top(place)
+    marks = pack.marks()
     seen = {}
     for m, k in zip(marks.tolist(), keys.tolist()):
         assert seen.setdefault(m, k) == k
 
 
+def test_words_that_differ_at_the_end(spark):
+    """Two documents share 12 words; the words behind are Thue-Morse words, which collide under any power sum mod 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    first, second = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    shared = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, f"{shared} {first}"), (2, f"{shared} {second}"), (3, f"{shared} {second}")], "doc_id long, text string")
+    found = substring_dedup.deduplicated(df.repartition(3), pack_bytes=1)
+    assert ordered(found, "doc_id", "n_words", "n_removed") == [(1, 13, 0), (2, 13, 0), (3, 13, 13)]
+
+
+def test_equal_names_of_different_windows_are_noticed(monkeypatch):
+    words = " ".join(f"w{i}" for i in range(20))
+    monkeypatch.setattr(substring_dedup, "word_names", lambda different, seed: np.ones((len(different), 2), np.uint64))
+    pack = substring_dedup.Pack(pa.array([words]))
+    squeeze = substring_dedup.zstandard.ZstdCompressor()
+    gone, wrong = substring_dedup._compared(pack, [squeeze.compress(b" ".join(b"v%d" % i for i in range(13)))], 0)
+    assert not gone.any() and wrong == 8
+    gone, wrong = substring_dedup._compared(pack, [squeeze.compress(" ".join(words.split()[3:17]).encode())], 0)
+    assert gone.tolist() == [i in (3, 4) for i in range(8)] and wrong > 0
+
+
 # -- language ---------------------------------------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,19 @@ def materialize(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, key: str, buckets: int) -> Iterator[DataFrame]:
+    """``df`` written to the shared folder in buckets of ``key``, so that joins and cogroups by it move only the other
+    side. The table's name goes at the end; its files stay as those of ``materialize`` do."""
+    spark, name = df.sparkSession, f"gaugewell_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.option("compression", "zstd").option("path", f"{scratch_root(spark)}/{name}")
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(name, format="parquet")
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Removes every scratch table of this application; results that still read them must be consumed before."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))

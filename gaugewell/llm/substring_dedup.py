@@ -11,8 +11,8 @@ exchange; Spark rounds settle what is above:
 1. whole texts by digest, so that all copies but the smallest are settled at once;
 2. packs of documents send the names of their different top symbols and learn which ones other packs have too;
 3. windows with such symbols are named, and each name's smallest document becomes its owner; the others claim it;
-4. owners send the words of what is claimed, adjoining windows as one passage, and every claimed window is compared with
-   them word by word;
+4. the words of what is claimed are sent, adjoining windows as one passage, and every claimed window is compared with
+   them word by word. An owner answers FANOUT packs at most, those answer FANOUT others each, and so on;
 5. words covered by windows that passed go.
 
 No decision on a window rests on a hash: one that is claimed and differs makes the operator start anew with other
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, slices, utf8
+from .common import Words, bucketed, materialize, slices, utf8
 
 #: Words of a window (fixed value of the contract) and of a top symbol; rounds of recompression below it.
 WINDOW, KEY, ROUNDS = 13, 6, 2
@@ -43,8 +43,10 @@ SALTS, DIGEST = 16, 32
 PACK_BYTES, BUCKET_NAMES, NAMES_A_BYTE = 2 << 20, 1 << 20, 0.05
 #: Bytes of text for each task that packs meet their answers in; bytes of owners' words that are compared at once.
 TASK_BYTES, COMPARED_BYTES = 32 << 20, 4 << 20
-#: What the rows that meet in a pack hold.
-BODY, COPIES, PAYLOAD = 0, 1, 2
+#: Words beyond so many bytes are named one by one. Packs that an owner answers for one window: those answer others.
+LONG_WORD, FANOUT = 256, 64
+#: Kinds of answers to a pack.
+COPIES, PAYLOAD = 0, 1
 
 _U = np.uint64
 _BYTE, _WORD = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -66,10 +68,30 @@ def _ahead(names: np.ndarray, step: int) -> np.ndarray:
 
 
 def word_names(different: pa.Array, seed: int) -> np.ndarray:
-    """128 bits (two columns) for each different word: BLAKE2b of its bytes, keyed by the seed."""
+    """128 bits (two columns) for each different word, from all its bytes and the seed, eight bytes at a time."""
+    width = np.int64 if pa.types.is_large_binary(different.type) else np.int32
+    _, offsets, data = different.buffers()
+    begin = np.frombuffer(offsets, width, len(different) + 1, different.offset * np.dtype(width).itemsize).astype(np.int64)
+    raw = np.concatenate([np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))  # the eight bytes from every place on
+    sizes = np.diff(begin)
+    out = np.empty((len(sizes), 2), _U)
+    out[:, 0] = _mix(sizes.astype(_U) + _U(2 * seed) * _WORD)
+    out[:, 1] = _mix(sizes.astype(_U) + _U(2 * seed + 1) * _WORD)
+    rest = np.flatnonzero(sizes <= LONG_WORD)
+    step = 0
+    while len(rest):
+        left = sizes[rest] - step
+        chunk = eight[begin[rest] + step]
+        short = left < 8
+        chunk[short] &= (_U(1) << (left[short] * 8).astype(_U)) - _U(1)
+        out[rest, 0] = _mix((out[rest, 0] ^ _mix(chunk + _BYTE)) * _BYTE)
+        out[rest, 1] = _mix((out[rest, 1] ^ _mix(chunk + _WORD)) * _WORD)
+        rest, step = rest[left > 8], step + 8
     key = seed.to_bytes(8, "little")
-    raw = b"".join(hashlib.blake2b(w, digest_size=16, key=key).digest() for w in different.to_pylist())
-    return np.frombuffer(raw, _U).reshape(-1, 2)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = np.frombuffer(hashlib.blake2b(raw[begin[i] : begin[i + 1]], digest_size=16, key=key).digest(), _U)
+    return out
 
 
 class Pack:
@@ -197,8 +219,7 @@ def _packs(limit: int):
                     "body": pa.array([squeeze.compress(sink.getvalue().to_pybytes())], pa.binary()),
                     "ids": pa.array([clean.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                     "digests": pa.array([digests], pa.binary()),
-                    "size": pa.array([len(data)], pa.int64()),
-                }
+                    }
                 yield pa.RecordBatch.from_pydict(out)
                 n += 1
 
@@ -300,25 +321,8 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _payloads(to, to, [_short(keys[a:b]) for a, b in zip(begin.tolist(), ends, strict=True)])
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(3)]
-        for i, (pack, kind, by) in enumerate(zip(*columns, strict=True)):
-            yield pack, kind, by, batch.column(3)[i].as_py()
-
-
-def _by_pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, np.ndarray, list[bytes]]]:
-    """(pack, body, numbers of copies, payloads) of one pack after another, from rows in order of pack and kind."""
-    now = None
-    for pack, kind, _, payload in _rows(batches):
-        if kind == BODY:
-            if now:
-                yield now
-            now = (pack, payload, [], [])
-        else:
-            now[kind + 1].append(payload)
-    if now:
-        yield now
+def _answers(right: pa.Table, kind: int) -> list[bytes]:
+    return right.column("payload").filter(pc.equal(right.column("kind"), kind)).to_pylist()
 
 
 def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -336,39 +340,40 @@ def _flags(copies: list[bytes], docs: int) -> np.ndarray:
 
 
 def _send_windows(buckets: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, body, copies, shared in _by_pack(batches):
-            if not shared:
-                continue
-            opened = Opened(body, seed)
-            pack, ids, rank = opened.pack, opened.ids, opened.rank
-            keys, which = pack.keys()
-            asked = _among(keys & _LOW, np.sort(_long(b"".join(shared))))
-            sends = (rank >= 0) & ~_flags(copies, len(rank))  # the smallest of equal texts sends for all
-            wanted = np.flatnonzero(asked[which] & sends[pack.window_doc])
-            starts, owner = pack.starts[wanted], rank[pack.window_doc[wanted]]
-            marks = pack.marks(starts)
-            order = np.lexsort((owner, marks))
-            marks, starts, owner = marks[order], starts[order], owner[order]
-            first = np.ones(len(marks), bool)
-            first[1:] = marks[1:] != marks[:-1]
-            marks, starts, owner = marks[first], starts[first], owner[first]
-            checks = pack.checks(starts)
-            cuts = _cut(marks, buckets)
-            out = {"bucket": [c[0] for c in cuts], "pack": [number] * len(cuts), "ids": [], "owners": []}
-            for name, array in (("marks", marks), ("checks", checks)):
-                out[name] = [_bytes(array[a:b]) for _, a, b in cuts]
-            for _, a, b in cuts:  # ids of the documents that own windows of this bucket
-                used, index = np.unique(owner[a:b], return_inverse=True)
-                out["ids"].append(_bytes(ids[used]))
-                out["owners"].append(_bytes(index.astype(np.uint32)))
-            yield _batch(out, WINDOWS)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        shared = _answers(right, PAYLOAD)
+        if not shared or not left.num_rows:
+            return WINDOWS.empty_table()
+        number, opened = left.column("pack")[0].as_py(), Opened(left.column("body")[0].as_py(), seed)
+        pack, ids, rank = opened.pack, opened.ids, opened.rank
+        keys, which = pack.keys()
+        asked = _among(keys & _LOW, np.sort(_long(b"".join(shared))))
+        sends = (rank >= 0) & ~_flags(_answers(right, COPIES), len(rank))  # the smallest of equal texts sends for all
+        wanted = np.flatnonzero(asked[which] & sends[pack.window_doc])
+        starts, owner = pack.starts[wanted], rank[pack.window_doc[wanted]]
+        marks = pack.marks(starts)
+        order = np.lexsort((owner, marks))
+        marks, starts, owner = marks[order], starts[order], owner[order]
+        first = np.ones(len(marks), bool)
+        first[1:] = marks[1:] != marks[:-1]
+        marks, starts, owner = marks[first], starts[first], owner[first]
+        checks = pack.checks(starts)
+        cuts = _cut(marks, buckets)
+        out = {"bucket": [c[0] for c in cuts], "pack": [number] * len(cuts), "ids": [], "owners": []}
+        for name, array in (("marks", marks), ("checks", checks)):
+            out[name] = [_bytes(array[a:b]) for _, a, b in cuts]
+        for _, a, b in cuts:  # ids of the documents that own windows of this bucket
+            used, index = np.unique(owner[a:b], return_inverse=True)
+            out["ids"].append(_bytes(ids[used]))
+            out["owners"].append(_bytes(index.astype(np.uint32)))
+        return pa.Table.from_batches([_batch(out, WINDOWS)])
 
     return run
 
 
 def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """To the pack whose document is the smallest with a window: who else has it, and the window's name."""
+    """To a pack with a window: which packs, with larger documents, ask it for the words. Packs with a window are in
+    order of their documents, and the i-th asks number i // FANOUT, whose words are compared in the same way."""
     for rows in _by_bucket(batches):
         marks = np.concatenate([np.frombuffer(r["marks"], _U) for r in rows])
         checks = np.concatenate([np.frombuffer(r["checks"], np.uint32) for r in rows])
@@ -382,7 +387,8 @@ def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later = np.flatnonzero(owner > owner[least])
         if not len(later):
             continue
-        to, by, marks = pack[least[later]], pack[later], marks[later]
+        asked = least[later] + (later - least[later]) // FANOUT
+        to, by, marks = pack[asked], pack[later], marks[later]
         order = np.lexsort((by, to))
         to, by, marks = to[order], by[order], marks[order]
         begin = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (by[1:] != by[:-1]))))
@@ -391,27 +397,28 @@ def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _send_words(seed: int):
-    """To each pack that claims windows of an owner the owner's words: adjoining windows as one passage a line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        body, opened, squeeze = b"", None, zstandard.ZstdCompressor(level=3)
-        for number, kind, by, payload in _rows(batches):
-            if kind == BODY:
-                body, opened = payload, None
-                continue
-            if opened is None:
-                opened = Opened(body, seed)
-                pack = opened.pack
-                owned = np.flatnonzero(opened.rank[pack.window_doc] >= 0)
-                table, at = np.unique(pack.marks()[owned], return_index=True)
-                at = owned[at]
-                text, begin, end = pack.words.joined()
-            place = np.sort(at[np.searchsorted(table, np.frombuffer(payload, _U))])
+    """To each pack that asks for windows their words: adjoining windows as one passage a line."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return MEETING.empty_table()
+        opened = Opened(left.column("body")[0].as_py(), seed)
+        number, pack, squeeze = left.column("pack")[0].as_py(), opened.pack, zstandard.ZstdCompressor(level=3)
+        owned = np.flatnonzero(opened.rank[pack.window_doc] >= 0)
+        table, at = np.unique(pack.marks()[owned], return_index=True)
+        at = owned[at]
+        text, begin, end = pack.words.joined()
+        asked: dict[int, list[bytes]] = {}
+        for by, payload in zip(right.column("by").to_pylist(), right.column("payload").to_pylist(), strict=True):
+            asked.setdefault(by, []).append(payload)
+        out = []
+        for payloads in asked.values():
+            place = np.sort(at[np.searchsorted(table, np.frombuffer(b"".join(payloads), _U))])
             starts = pack.starts[place]
             cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(pack.window_doc[place]) != 0)) + 1
             firsts, lasts = starts[np.concatenate(([0], cut))], starts[np.concatenate((cut - 1, [len(starts) - 1]))] + WINDOW - 1
-            passages = b"\n".join(text[a:b] for a, b in zip(begin[firsts].tolist(), end[lasts].tolist(), strict=True))
-            yield _payloads([by], [number], [squeeze.compress(passages)])
+            out.append(squeeze.compress(b"\n".join(text[a:b] for a, b in zip(begin[firsts].tolist(), end[lasts].tolist(), strict=True))))
+        return pa.Table.from_batches([_payloads(list(asked), [number] * len(asked), out)])
 
     return run
 
@@ -446,28 +453,27 @@ def _compared(pack: Pack, payloads: list[bytes], seed: int) -> tuple[np.ndarray,
 
 
 def _finish(full: bool, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, body, copies, payloads in _by_pack(batches):
-            opened = Opened(body, seed)
-            pack, rank = opened.pack, opened.rank
-            owner = rank[pack.window_doc]
-            gone, wrong = _compared(pack, payloads, seed)
-            gone &= owner >= 0
-            # windows that a smaller document of the same pack has
-            known, marks = np.flatnonzero(owner >= 0), pack.marks()
-            order = known[np.lexsort((owner[known], marks[known]))]
-            first = np.ones(len(order), bool)
-            first[1:] = marks[order[1:]] != marks[order[:-1]]
-            least = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
-            wrong += int((~pack.equal(pack.starts[order], pack.starts[least])).sum())
-            gone[order[owner[order] > owner[least]]] = True
-            gone |= _flags(copies, len(rank))[pack.window_doc]
-            n = len(pack.codes)
-            edge = np.zeros(n + 1, np.int64)
-            np.add.at(edge, pack.starts[gone], 1)
-            np.add.at(edge, pack.starts[gone] + WINDOW, -1)
-            removed = np.cumsum(edge[:-1]) > 0
-            yield _result(opened.column, pack.words, removed, wrong, full)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        opened = Opened(left.column("body")[0].as_py(), seed)
+        pack, rank = opened.pack, opened.rank
+        owner = rank[pack.window_doc]
+        gone, wrong = _compared(pack, _answers(right, PAYLOAD), seed)
+        gone &= owner >= 0
+        # windows that a smaller document of the same pack has
+        known, marks = np.flatnonzero(owner >= 0), pack.marks()
+        order = known[np.lexsort((owner[known], marks[known]))]
+        first = np.ones(len(order), bool)
+        first[1:] = marks[order[1:]] != marks[order[:-1]]
+        least = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
+        wrong += int((~pack.equal(pack.starts[order], pack.starts[least])).sum())
+        gone[order[owner[order] > owner[least]]] = True
+        gone |= _flags(_answers(right, COPIES), len(rank))[pack.window_doc]
+        n = len(pack.codes)
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, pack.starts[gone], 1)
+        np.add.at(edge, pack.starts[gone] + WINDOW, -1)
+        removed = np.cumsum(edge[:-1]) > 0
+        return pa.Table.from_batches([_result(opened.column, pack.words, removed, wrong, full)])
 
     return run
 
@@ -506,23 +512,16 @@ def _copied(packs: DataFrame) -> DataFrame:
 
 
 def _deduplicated(packs: DataFrame, copies: DataFrame, size: int, full: bool, seed: int) -> DataFrame:
-    spark = packs.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, tasks = max(least, int(size * NAMES_A_BYTE) // BUCKET_NAMES), max(least, size // TASK_BYTES)
-    bodies = packs.select("pack", F.lit(BODY).alias("kind"), F.col("pack").alias("by"), F.col("body").alias("payload"))
-    bucketed = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-
-    def meet(*answers: DataFrame) -> DataFrame:
-        rows = bodies
-        for answer in answers:
-            rows = rows.unionByName(answer)
-        return rows.repartition(tasks, "pack").sortWithinPartitions("pack", "kind", "by")
-
-    shared = bucketed(packs.select("pack", "body").mapInArrow(_send_keys(buckets, seed), _ddl(KEYS))).mapInArrow(_shared_keys, _ddl(MEETING))
-    windows = bucketed(meet(copies, shared).mapInArrow(_send_windows(buckets, seed), _ddl(WINDOWS)))
-    words = meet(windows.mapInArrow(_claims, _ddl(MEETING))).mapInArrow(_send_words(seed), _ddl(MEETING))
+    least = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, int(size * NAMES_A_BYTE) // BUCKET_NAMES)
+    by_bucket = lambda df: df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # packs lie where the exchange by pack would bring them: only answers move
+    meet = lambda answers, f, schema: packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(f, schema)
+    shared = by_bucket(packs.mapInArrow(_send_keys(buckets, seed), _ddl(KEYS))).mapInArrow(_shared_keys, _ddl(MEETING))
+    windows = by_bucket(meet(copies.unionByName(shared), _send_windows(buckets, seed), _ddl(WINDOWS)))
+    words = meet(windows.mapInArrow(_claims, _ddl(MEETING)), _send_words(seed), _ddl(MEETING))
     schema = "doc_id long, n_words long, n_removed long, wrong long, " + ("removed array<array<long>>, kept string" if full else "kept_sha256 string")
-    return meet(copies, words).mapInArrow(_finish(full, seed), schema)
+    return meet(copies.unionByName(words), _finish(full, seed), schema)
 
 
 def deduplicated(docs: DataFrame, full: bool = True, pack_bytes: int = PACK_BYTES) -> DataFrame:
@@ -533,14 +532,17 @@ def deduplicated(docs: DataFrame, full: bool = True, pack_bytes: int = PACK_BYTE
     equal ids are not smaller than each other, and rows with a null id neither lose words nor make others lose any.
     An empty table gives no rows. A very long document is a pack alone, so its words must fit one worker.
     """
-    packs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    packs = materialize(packs.mapInArrow(_packs(pack_bytes), "pack long, body binary, ids array<long>, digests binary, size long"))
-    size = packs.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    copies, packs = materialize(_copied(packs)), packs.select("pack", "body")
-    for seed in count():
-        out = materialize(_deduplicated(packs, copies, size, full, seed))
-        if out.filter("wrong > 0").isEmpty():  # else two windows share a name: other names, and once more
-            return out.drop("wrong")
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    packs = docs.mapInArrow(_packs(pack_bytes), "pack long, body binary, ids array<long>, digests binary")
+    with bucketed(packs, "pack", tasks) as packs:
+        copies, packs = materialize(_copied(packs)), packs.select("pack", "body")
+        for seed in count():
+            out = materialize(_deduplicated(packs, copies, size, full, seed))
+            if out.filter("wrong > 0").isEmpty():  # else two windows share a name: other names, and once more
+                return out.drop("wrong")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,7 +208,7 @@ def _packs(limit: int):
         for batch in batches:
             for part in slices(batch, limit=limit):
                 sink = pa.BufferOutputStream()
-                clean = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text")], ["doc_id", "text"])
+                clean = part.take(pc.sort_indices(part.column("doc_id")))  # by id, null ids last
                 with pa.ipc.new_stream(sink, clean.schema) as out:
                     out.write_batch(clean)
                 data, offsets = utf8(clean.column("text"))
@@ -227,7 +227,7 @@ def _packs(limit: int):
 
 
 class Opened:
-    """A pack's documents: words, ids and the rank of each document's id (null ids: -1, smaller and larger than none)."""
+    """A pack's documents: words, ids and the rank of each document's id, ascending; null ids come last and have none (-1)."""
 
     def __init__(self, body: bytes, seed: int):
         table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body)).read_all().combine_chunks()
@@ -352,11 +352,8 @@ def _send_windows(buckets: int, seed: int):
         wanted = np.flatnonzero(asked[which] & sends[pack.window_doc])
         starts, owner = pack.starts[wanted], rank[pack.window_doc[wanted]]
         marks = pack.marks(starts)
-        order = np.lexsort((owner, marks))
-        marks, starts, owner = marks[order], starts[order], owner[order]
-        first = np.ones(len(marks), bool)
-        first[1:] = marks[1:] != marks[:-1]
-        marks, starts, owner = marks[first], starts[first], owner[first]
+        marks, first = np.unique(marks, return_index=True)  # owners ascend, so the first is the smallest
+        starts, owner = starts[first], owner[first]
         checks = pack.checks(starts)
         cuts = _cut(marks, buckets)
         out = {"bucket": [c[0] for c in cuts], "pack": [number] * len(cuts), "ids": [], "owners": []}
@@ -391,9 +388,10 @@ def _claims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, by, marks = pack[asked], pack[later], marks[later]
         order = np.lexsort((by, to))
         to, by, marks = to[order], by[order], marks[order]
-        begin = np.flatnonzero(np.concatenate(([True], (to[1:] != to[:-1]) | (by[1:] != by[:-1]))))
+        begin = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
         ends = [*begin[1:].tolist(), len(marks)]
-        yield _payloads(to[begin].tolist(), by[begin].tolist(), [_bytes(marks[a:b]) for a, b in zip(begin.tolist(), ends, strict=True)])
+        payloads = [_bytes(np.concatenate([by[a:b].view(_U), marks[a:b]])) for a, b in zip(begin.tolist(), ends, strict=True)]
+        yield _payloads(to[begin].tolist(), to[begin].tolist(), payloads)
 
 
 def _send_words(seed: int):
@@ -404,33 +402,34 @@ def _send_words(seed: int):
             return MEETING.empty_table()
         opened = Opened(left.column("body")[0].as_py(), seed)
         number, pack, squeeze = left.column("pack")[0].as_py(), opened.pack, zstandard.ZstdCompressor(level=3)
-        owned = np.flatnonzero(opened.rank[pack.window_doc] >= 0)
-        table, at = np.unique(pack.marks()[owned], return_index=True)
-        at = owned[at]
+        owned = np.count_nonzero(opened.rank[pack.window_doc] >= 0)
+        table, at = np.unique(pack.marks()[:owned], return_index=True)
         text, begin, end = pack.words.joined()
-        asked: dict[int, list[bytes]] = {}
-        for by, payload in zip(right.column("by").to_pylist(), right.column("payload").to_pylist(), strict=True):
-            asked.setdefault(by, []).append(payload)
-        out = []
-        for payloads in asked.values():
-            place = np.sort(at[np.searchsorted(table, np.frombuffer(b"".join(payloads), _U))])
-            starts = pack.starts[place]
-            cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(pack.window_doc[place]) != 0)) + 1
-            firsts, lasts = starts[np.concatenate(([0], cut))], starts[np.concatenate((cut - 1, [len(starts) - 1]))] + WINDOW - 1
-            out.append(squeeze.compress(b"\n".join(text[a:b] for a, b in zip(begin[firsts].tolist(), end[lasts].tolist(), strict=True))))
-        return pa.Table.from_batches([_payloads(list(asked), [number] * len(asked), out)])
+        halves = [np.frombuffer(p, _U).reshape(2, -1) for p in right.column("payload").to_pylist()]
+        by, wanted = np.concatenate(halves, axis=1)
+        place = at[np.searchsorted(table, wanted)]
+        order = np.lexsort((place, by))
+        by, place = by[order].view(np.int64), place[order]
+        starts = pack.starts[place]
+        # passages of windows that adjoin, and where those for another pack begin
+        other = by[1:] != by[:-1]
+        cut = np.flatnonzero(other | (np.diff(starts) != 1) | (np.diff(pack.window_doc[place]) != 0)) + 1
+        firsts, lasts = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(starts) - 1]))
+        passages = [text[a:b] for a, b in zip(begin[starts[firsts]].tolist(), end[starts[lasts] + WINDOW - 1].tolist(), strict=True)]
+        to, first = np.unique(by[firsts], return_index=True)
+        ends = [*first[1:].tolist(), len(passages)]
+        out = [squeeze.compress(b"\n".join(passages[a:b])) for a, b in zip(first.tolist(), ends, strict=True)]
+        return pa.Table.from_batches([_payloads(to.tolist(), [number] * len(to), out)])
 
     return run
 
 
-def _compared(pack: Pack, payloads: list[bytes], seed: int) -> tuple[np.ndarray, int]:
-    """Which windows have the words of a received one, and how many have only its name."""
+def _compared(pack: Pack, order: np.ndarray, ordered: np.ndarray, payloads: list[bytes], seed: int) -> tuple[np.ndarray, int]:
+    """Which windows have the words of a received one, and how many have only its name; ``order`` are the windows that
+    take part, by name, and ``ordered`` their names."""
     gone, wrong = np.zeros(len(pack.starts), bool), 0
     if not payloads:
         return gone, wrong
-    marks = pack.marks()
-    order = np.argsort(marks, kind="stable")
-    ordered = marks[order]
     unpack, part, size = zstandard.ZstdDecompressor(), [], 0
     for i, payload in enumerate(payloads):
         part += unpack.decompress(payload).split(b"\n")
@@ -457,21 +456,21 @@ def _finish(full: bool, seed: int):
         opened = Opened(left.column("body")[0].as_py(), seed)
         pack, rank = opened.pack, opened.rank
         owner = rank[pack.window_doc]
-        gone, wrong = _compared(pack, _answers(right, PAYLOAD), seed)
-        gone &= owner >= 0
+        owner = owner[: np.count_nonzero(owner >= 0)]  # windows of null ids come last and take no part
+        marks = pack.marks()[: len(owner)]
+        order = np.argsort(marks, kind="stable")
+        marks, owner = marks[order], owner[order]
+        gone, wrong = _compared(pack, order, marks, _answers(right, PAYLOAD), seed)
         # windows that a smaller document of the same pack has
-        known, marks = np.flatnonzero(owner >= 0), pack.marks()
-        order = known[np.lexsort((owner[known], marks[known]))]
         first = np.ones(len(order), bool)
-        first[1:] = marks[order[1:]] != marks[order[:-1]]
-        least = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
-        wrong += int((~pack.equal(pack.starts[order], pack.starts[least])).sum())
-        gone[order[owner[order] > owner[least]]] = True
+        first[1:] = marks[1:] != marks[:-1]
+        least = np.flatnonzero(first)[np.cumsum(first) - 1] if len(order) else order
+        wrong += int((~pack.equal(pack.starts[order], pack.starts[order[least]])).sum())
+        gone[order[owner > owner[least]]] = True
         gone |= _flags(_answers(right, COPIES), len(rank))[pack.window_doc]
         n = len(pack.codes)
-        edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, pack.starts[gone], 1)
-        np.add.at(edge, pack.starts[gone] + WINDOW, -1)
+        begins = pack.starts[gone]
+        edge = np.bincount(begins, minlength=n + 1) - np.bincount(begins + WINDOW, minlength=n + 1)
         removed = np.cumsum(edge[:-1]) > 0
         return pa.Table.from_batches([_result(opened.column, pack.words, removed, wrong, full)])
 

@@ -9,7 +9,9 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Words of every operator: runs of anything but space, tab, LF, VT, FF and CR (fixed value of the contract).
@@ -24,9 +26,12 @@ _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a local one is set only where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not folder:
-        folder = "/tmp/gaugewell-scratch"  # single-machine sessions such as the tests
+        folder = "/tmp/gaugewell-scratch"  # one machine, such as in the tests
     return f"{folder.rstrip('/')}/gaugewell-{spark.sparkContext.applicationId}"
 
 
@@ -39,6 +44,26 @@ def materialize(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """doc (all columns of ``docs``), file and index: what tells every row from all others, also where ids and texts
+    repeat, and is the same whenever the rows are read again. Rows that don't come straight from files are written."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.select(F.struct("*").alias("doc"), F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("index"))
+    except AnalysisException:
+        return row_keyed(materialize(docs))
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with the number (from 0) of each row in ``order``: a distributed sort, then an offset for each partition."""
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = materialize(df.orderBy(*order).withColumns({"__part": F.spark_partition_id(), "__own": own}))
+    parts = rows.groupBy("__part").agg(F.count("*").alias("__n"))  # one row for each partition
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    return rows.join(parts, "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+
+
 @contextmanager
 def bucketed(df: DataFrame, key: str, buckets: int) -> Iterator[DataFrame]:
     """``df`` written to the shared folder in buckets of ``key``, so that joins and cogroups by it move only the other

@@ -87,32 +87,59 @@ def test_misra_gries_keeps_the_frequent(spark):
 # -- mixing ---------------------------------------------------------------------------------------------------------
 
 
-@given(st.lists(st.integers(0, 1000), min_size=1, max_size=12))
-@settings(max_examples=60, deadline=None)
-def test_targets(sizes):
-    out = mixing.targets(sizes)
-    assert all(t <= 2 * s + 1e-6 for t, s in zip(out, sizes))
-    assert abs(sum(out) - min(1.5 * sum(sizes), 2 * sum(sizes))) < 1e-6 * max(1, sum(sizes))
-    free = [t / mixing.WEIGHTS[i % 3] for i, (t, s) in enumerate(zip(out, sizes)) if t < 2 * s - 1e-6]
-    assert not free or max(free) - min(free) < 1e-6 * max(1, max(free))
+def brute_targets(sizes):
+    """One source after another is capped until none is above twice its size."""
+    weight, full, left = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))], set(), 1.5 * sum(sizes)
+    while len(full) < len(sizes):
+        level = (left - sum(2 * sizes[i] for i in full)) / sum(w for i, w in enumerate(weight) if i not in full)
+        above = [i for i in range(len(sizes)) if i not in full and level * weight[i] >= 2 * sizes[i]]
+        if not above:
+            return [2 * s if i in full else level * weight[i] for i, s in enumerate(sizes)]
+        full.add(above[0])
+    return [2 * s for s in sizes]
+
+
+@pytest.mark.parametrize("sizes", [[0], [5], [1000, 1, 1], [1, 1000, 1000], [0, 0, 3, 9, 1, 40], list(range(60)), [7] * 12])
+def test_targets(spark, sizes):
+    df = spark.createDataFrame(list(enumerate(sizes)), "position long, source_size long")
+    found = {r.position: r.target for r in mixing.with_targets(df).collect()}
+    assert [found[i] for i in range(len(sizes))] == pytest.approx(brute_targets(sizes))
+
+
+def matrix(quotas, shards, seed):
+    out = np.zeros((len(shards), len(quotas)), np.int64)
+    for shard, index, counts in mixing.split_quotas(np.array(quotas), np.array(shards), seed):
+        out[shard, index] = counts
+    return out
 
 
 def test_splitting_tree():
-    quotas = [100, 7, 0, 31]
-    out = mixing.split_quotas(quotas, 6, 1)
-    assert out.sum(axis=0).tolist() == quotas and (out >= 0).all() and np.ptp(out.sum(axis=1)) <= 2
-    assert (out == mixing.split_quotas(quotas, 6, 1)).all()
-    mean = np.mean([mixing.split_quotas(quotas, 2, s)[0] for s in range(400)], axis=0)
+    quotas, shards = [100, 7, 0, 31], [23, 23, 23, 23, 23, 23]
+    out = matrix(quotas, shards, [1])
+    assert out.sum(axis=0).tolist() == quotas and out.sum(axis=1).tolist() == shards and (out >= 0).all()
+    assert (out == matrix(quotas, shards, [1])).all()
+    mean = np.mean([matrix(quotas, [69, 69], [s])[0] for s in range(400)], axis=0)
     assert np.abs(mean - np.array(quotas) / 2).max() < 1.0
 
 
+def test_draws_beyond_the_library(monkeypatch):
+    law = np.array([math.comb(30, x) * math.comb(50, 20 - x) / math.comb(80, 20) for x in range(21)])
+    monkeypatch.setattr(mixing, "NUMPY_MOST", 0)
+    rng = np.random.default_rng(3)
+    found = np.bincount([mixing.hypergeometric(rng, 30, 50, 20) for _ in range(40000)], minlength=21) / 40000
+    assert np.abs(found - law).max() < 0.01
+    assert mixing.hypergeometric(rng, 5, 0, 5) == 5 and mixing.hypergeometric(rng, 0, 5, 5) == 0 and mixing.hypergeometric(rng, 3, 2, 5) == 3
+    big = [mixing.hypergeometric(rng, 6 * 10**9, 4 * 10**9, 10**9) for _ in range(20)]
+    assert abs(np.mean(big) / 6e8 - 1) < 1e-4
+
+
 def test_mix(docs, rows, spark):
-    found = pd.DataFrame(mixing.mix_counts(docs, block_words=200).collect(), columns=["doc_id", "size", "source_size", "target", "taken"])
+    found = pd.DataFrame(mixing.mix_counts(docs, block_words=200).collect(), columns=["doc_id", "size", "source_size", "target", "taken", "shards"])
     words = lambda t: len(WORDS.findall(t or ""))
     assert len(found) == len(rows) and sorted(found["size"]) == sorted(words(r[1]) for r in rows)
     assert (found.taken <= 2 * found["size"]).all()
     sizes = pd.Series([words(r[1]) for r in rows]).groupby([str(r[3]) for r in rows]).sum()
-    aims = mixing.targets([int(sizes[s]) for s in ("s0", "s1", "None")])
+    aims = brute_targets([int(sizes[s]) for s in ("s0", "s1", "None")])
     assert sorted(set(found.target.round(6))) == sorted(round(a, 6) for a in aims)
     again = pd.DataFrame(mixing.mix_counts(docs.repartition(3), block_words=200).collect(), columns=found.columns)
     assert sorted(map(repr, found.itertuples(index=False))) == sorted(map(repr, again.itertuples(index=False)))
@@ -122,6 +149,32 @@ def test_mix(docs, rows, spark):
     assert total == found.taken.sum()
 
 
+def test_mix_of_repeated_rows(spark):
+    """Texts in two sources, rows that repeat everything, and rows that repeat all but another column: the mix holds each
+    as often as the counts say."""
+    rng = random.Random(8)
+    texts = ["w " * rng.randint(1, 60) + str(i) for i in range(140)]
+    rows = [(i, t, s, i) for i, t in enumerate(texts[:40]) for s in ("a", "b")] + [(i + 40, t, "ab"[i % 2], i) for i, t in enumerate(texts[40:])]
+    rows += [(7, texts[7], "a", k) for k in range(30)] + [(None, None, None, 0), (None, "", "b", 0)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int").repartition(4)
+    for words in (50, 100_000):
+        counts = mixing.mix_counts(df, block_words=words).toPandas()
+        assert len(counts) == len(rows) and (counts["taken"] == counts["size"] * counts["shards"].map(len)).all()
+        out = mixing.mixed(df, block_words=words).toPandas()
+        assert sum(len((t or "").split()) for t in out["text"]) == counts["taken"].sum()
+        times = counts.groupby(counts["doc_id"].fillna(-1))["shards"].sum().map(len)
+        seen = out.groupby(out["doc_id"].fillna(-1)).size()
+        assert {k: v for k, v in times.items() if v} == seen.to_dict()
+    assert counts.groupby("target")["taken"].sum().max() > 0
+
+
+def test_mix_of_many_sources(spark):
+    """20,000 sources, in groups of the tree."""
+    rows = spark.range(40_000).selectExpr("id AS doc_id", "repeat('w ', CAST(1 + id % 7 AS INT)) AS text", "concat('s', id % 20000) AS source")
+    found = mixing.mix_counts(rows).toPandas()
+    assert len(found) == 40_000 and 0.9 < found["taken"].sum() / (1.5 * found["size"].sum()) <= 1 + 1e-9 and (found["taken"] <= 2 * found["size"]).all()
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(i, "w " * rng.randint(1, 30), f"s{i % 4}") for i in range(2000)], "doc_id long, text string, source string")

@@ -11,11 +11,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, row_keyed, text_or_empty
 
 #: Counters of each Misra-Gries summary and rows of the broadcast at most.
 COUNTERS = 64
@@ -42,68 +41,61 @@ def frequent_digests(rows: DataFrame, k: int = COUNTERS) -> DataFrame:
     return each.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(k).select("digest")
 
 
-def _digest():
-    return F.unhex(F.sha2(text_or_empty(), 256))
+def _digest(name: str = "doc.text") -> Column:
+    return F.unhex(F.sha2(text_or_empty(name), 256))
 
 
-def decisions(docs: DataFrame, k: int = COUNTERS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, heavy, rest): a narrow row (doc_id, row, digest) for each document; for the heavy digests and for all
-    others with more than one row the winner and the size of the group.
+def decisions(keyed: DataFrame, k: int = COUNTERS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, heavy, rest): a narrow row (doc_id, file, index, digest) for each row of ``keyed``, as ``row_keyed`` gives
+    it; for the heavy digests and for all others with more than one row the winner and the size of the group.
 
     Null text counts as empty. Of equal texts the row with the largest doc_id stays, null ids lowest; of repeated
     rows (equal id and text) exactly one stays. An empty table gives empty results.
     """
-    rows = materialize(docs.select("doc_id", _digest().alias("digest"), F.monotonically_increasing_id().alias("row")))
-    winners = lambda df: (  # noqa: E731  copies: how many rows repeat the winner's id and text
-        df.groupBy("digest", "doc_id")
-        .agg(F.max("row").alias("row"), F.count("*").alias("copies"))
-        .groupBy("digest")
-        .agg(F.max(F.struct("doc_id", "row", "copies")).alias("keep"), F.sum("copies").alias("n"))
-        .filter("n > 1")
-    )
+    rows = materialize(keyed.select("doc.doc_id", _digest().alias("digest"), "file", "index"))
     names = materialize(frequent_digests(rows, k))
     same = (  # byte comparison: one text only under each heavy digest
-        docs.select(_digest().alias("digest"), text_or_empty().alias("body"))
+        keyed.select(_digest().alias("digest"), text_or_empty("doc.text").alias("body"))
         .join(F.broadcast(names), "digest")
         .groupBy("digest")
         .agg((F.min("body") == F.max("body")).alias("equal"))
         .filter("equal")
         .select("digest")
     )
+    keep = F.max(F.struct("doc_id", "file", "index")).alias("keep")
+    winners = lambda df: df.groupBy("digest").agg(keep, F.count("*").alias("n")).filter("n > 1")
     heavy = materialize(winners(rows.join(F.broadcast(names), "digest")).join(F.broadcast(same), "digest"))  # k rows at most
     rest = winners(rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti"))
     return rows, heavy, rest
 
 
-def exact_duplicates(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. See ``decisions`` for the rules."""
-    rows, heavy, rest = decisions(docs, k)
+def _settled(keyed: DataFrame, k: int) -> DataFrame:
+    """doc_id, file, index, digest, keep and n of each row: heavy groups are settled by a broadcast of their winners, all
+    others by a shuffle."""
+    rows, heavy, rest = decisions(keyed, k)
     hot = rows.join(F.broadcast(heavy), "digest")
     cold = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(rest, "digest", "left")
-    return hot.select("doc_id", "row", "digest", "keep", "n").unionByName(cold.select("doc_id", "row", "digest", "keep", "n")).select(
+    columns = ["doc_id", "file", "index", "digest", "keep", "n"]
+    stays = F.col("keep").isNull() | ((F.col("keep.file") == F.col("file")) & (F.col("keep.index") == F.col("index")))
+    return hot.select(columns).unionByName(cold.select(columns)).withColumn("kept", stays)
+
+
+def exact_duplicates(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. See ``decisions`` for the rules."""
+    return _settled(row_keyed(docs), k).select(
         "doc_id",
         F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("keep").isNull() | (F.col("keep.row") == F.col("row"))).alias("kept"),
+        "kept",
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def without_duplicates(docs: DataFrame, k: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns. Copies of heavy texts go before any shuffle."""
-    columns = docs.columns
-    _, heavy, rest = decisions(docs, k)
-    rest = materialize(rest)
-    keyed = docs.withColumn("__digest", _digest())
-    pick = lambda df, name: df.select(F.col("digest").alias("__digest"), F.col("keep").alias(name))
-    hot = keyed.join(F.broadcast(pick(heavy, "__hot")), "__digest", "left").filter("__hot is null or doc_id <=> __hot.doc_id")
-    left = hot.join(pick(rest, "__rest"), "__digest", "left").filter("__rest is null or doc_id <=> __rest.doc_id")
-    if heavy.unionByName(rest).filter("keep.copies > 1").isEmpty():
-        return left.select(columns)
-    repeated = F.coalesce("__hot.copies", "__rest.copies", F.lit(1)) > 1
-    nth = F.row_number().over(W.partitionBy("__digest", "doc_id").orderBy("__digest"))
-    one = left.filter(repeated).withColumn("__nth", nth).filter("__nth = 1")
-    return left.filter(~repeated).select(columns).unionByName(one.select(columns))
+    """The rows of ``docs`` that stay, all columns: only the places of those that go are joined with the texts."""
+    keyed = row_keyed(docs)
+    gone = materialize(_settled(keyed, k).filter("not kept").select("file", "index"))
+    return keyed.join(gone, ["file", "index"], "left_anti").select("doc.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, slices
+from .common import Words, materialize, row_keyed, slices
 
 #: Bits that may differ, words of a shingle, seed of XXH64 (fixed values of the contract); fingerprints of a tile, about.
 RADIUS, SHINGLE, SEED, TILE = 3, 3, 42, 2048
@@ -58,12 +58,14 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for batch in batches:
         for part in slices(batch):
             marks = fingerprints_of(part.column("text")).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(marks)], ["doc_id", "mark"])
+            rest = [n for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in rest), pa.array(marks)], [*rest, "mark"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprint_batches, "doc_id long, mark long")
+def fingerprints(keyed: DataFrame) -> DataFrame:
+    """file, index and doc_id of each row, as ``row_keyed`` gives it, and the fingerprint as a signed long."""
+    rows = keyed.select("file", "index", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, "file long, index long, doc_id long, mark long")
 
 
 def _segment(i: int):
@@ -127,24 +129,29 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(marks: DataFrame) -> DataFrame:
     """(x, y) of different fingerprints that link all that are within the radius of each other.
 
-    ``marks`` has each fingerprint once. Tiles are cut by a hash to about ``TILE`` entries; class counts (at most 17^4
-    rows) are broadcast for that. Pairs of tiles meet by an equi-join on the class, and each pair is a task's row.
+    ``marks`` has each fingerprint once. Tiles are cut by a hash to about ``TILE`` entries and numbered; pairs of tiles
+    meet by number first: every cut of a class lists its partners' numbers of cuts, so a class of any size is dealt by
+    (class, cut). Members, 16 KB a tile, are then brought by number, and each pair is one row.
     """
     place = sum((_segment(i).cast("long") * 32**i for i in range(4)), F.lit(0).cast("long"))
     placed = marks.select("mark", place.alias("place"))
-    cuts = placed.groupBy("place").agg(F.ceil(F.count("*") / TILE).alias("cuts"))
+    cuts = materialize(placed.groupBy("place").agg(F.ceil(F.count("*") / TILE).cast("int").alias("cuts")))  # at most 17^4 rows
     tiles = (
         placed.join(F.broadcast(cuts), "place")
-        .withColumn("cut", F.pmod(F.xxhash64("mark"), "cuts"))
+        .withColumn("cut", F.pmod(F.xxhash64("mark"), "cuts").cast("int"))
         .groupBy("place", "cut")
         .agg(F.collect_list("mark").alias("members"))
     )
     tiles = materialize(tiles)
     shifts = F.array(*[F.lit(sum(x * 32**i for i, x in enumerate(d))).cast("long") for d in _offsets()])
-    left = tiles.select(F.col("place").alias("p"), F.col("cut").alias("c"), F.col("members").alias("a"), F.explode(shifts).alias("shift"))
-    left = left.withColumn("place", F.col("p") + F.col("shift"))
+    names = tiles.select(F.col("place").alias("p"), F.col("cut").alias("c"), F.explode(shifts).alias("shift"))
+    other = F.broadcast(cuts.withColumnRenamed("cuts", "others"))
+    names = names.withColumn("place", F.col("p") + F.col("shift")).join(other, "place")
+    first = F.when(F.col("shift") == 0, F.col("c")).otherwise(F.lit(0))  # within a class each pair once
+    pairs = names.withColumn("cut", F.explode(F.sequence(first, F.col("others") - 1)))
+    left = tiles.select(F.col("place").alias("p"), F.col("cut").alias("c"), F.col("members").alias("a"))
     same = (F.col("place") == F.col("p")) & (F.col("cut") == F.col("c"))
-    pairs = left.join(tiles, "place").filter("place <> p or cut >= c")
+    pairs = pairs.join(tiles, ["place", "cut"]).join(left, ["p", "c"])
     pairs = pairs.select("a", F.when(~same, F.col("members")).alias("b"), same.alias("same"))
     return pairs.mapInArrow(_compare, "x long, y long")
 
@@ -179,21 +186,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null text, like one without words, has fingerprint zero, which links like any other. Rows with null doc_id take
     part; a component of such rows only has a null id. Repeated rows are documents of one component.
     """
-    each = materialize(fingerprints(docs))
+    each = _classes(row_keyed(docs))
+    return each.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(keyed: DataFrame) -> DataFrame:
+    """file, index, doc_id, mark, component_id and root (what tells components without any id apart) of each row."""
+    each = materialize(fingerprints(keyed))
     owners = materialize(each.groupBy("mark").agg(F.min("doc_id").alias("least")))
     roots = components(links(owners))
     named = owners.join(roots, owners.mark == roots.node, "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
     named = materialize(named)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_mark = named.join(ids, "root").select("mark", "component_id")
-    return each.join(by_mark, "mark").select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
+    by_mark = named.join(ids, "root").select("mark", "root", "component_id")
+    return each.join(by_mark, "mark")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, all columns; null ids stay only in
-    components without any other (all of them, as nothing tells them apart)."""
-    kept = near_duplicates(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__keep"]), "left_semi")
+    """One row of each component, all columns of ``docs``: the one with the smallest doc_id, and of rows that repeat
+    that id one of them. A component of rows with null ids only keeps one of these. Whether rows repeat ids or texts
+    makes no difference: rows are told apart by where they stand. An empty table stays empty."""
+    keyed = row_keyed(docs)
+    each = materialize(_classes(keyed).select("file", "index", "doc_id", "root"))
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "file", "index")
+    first = each.groupBy("root").agg(F.min(place).alias("first")).select("first.file", "first.index")
+    gone = materialize(each.select("file", "index").join(first, ["file", "index"], "left_anti"))
+    return keyed.join(gone, ["file", "index"], "left_anti").select("doc.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

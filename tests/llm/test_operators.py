@@ -238,6 +238,16 @@ def test_simhash(docs, rows):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(least.values())
 
 
+def test_near_duplicates_among_repeated_ids(spark):
+    """Rows are told apart by where they stand: an id that stays elsewhere does not keep another row of that id."""
+    other, third = "quite another text with words of its own", "a third one that shares nothing at all with these"
+    t = "some text that is in many rows of this table"
+    rows = [(3, t, 1), (5, t, 2), (5, other, 3), (3, t, 4), (None, third, 5), (None, third, 6), (7, None, 7), (8, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark long").repartition(3)
+    kept = sorted(((r.doc_id, r.text, r.mark) for r in simhash.without_near_duplicates(df).collect()), key=lambda r: r[2])
+    assert len(kept) == 4 and kept[0][0] == 3 and kept[0][2] in (1, 4) and kept[1] == (5, other, 3) and kept[2][1] == third and kept[3] == (7, None, 7)
+
+
 def test_fingerprints_counted_in_parts(monkeypatch):
     texts = pa.array(["", "a b", None, " ".join(f"w{i % 37}" for i in range(500)), "x", "one two three four"])
     whole = simhash.fingerprints_of(texts).tolist()

@@ -456,10 +456,10 @@ def test_ranks_file(tmp_path):
 def brute_top(vectors, every, k):
     good = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in good:
+    for n, (i, q) in enumerate(good):
         if i % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i)[:k]
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)]
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(good) if m != n)[:k]
+            out += [(i, n + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, j) in enumerate(scored)]
     return sorted(out)
 
 
@@ -471,10 +471,36 @@ def test_top_k(spark, monkeypatch):
     vectors = [(i, (centers[i % 6] + rng.normal(0, 0.2, 8)).tolist()) for i in range(1500)]
     vectors += [(2000 + i, [0.5] * 8) for i in range(700)]  # a very common vector: ties by id
     vectors += [(3000, None), (3050, [None] + [1.0] * 7), (3100, [float("nan")] + [1.0] * 7), (3150, [float("inf")] * 8), (3200, [1.0] * 5), (3250, []), (None, [1.0] * 8)]
+    vectors += [(50, [0.25] * 8), (50, vectors[50][1]), (51, [9.0] * 8), (51, [9.0] * 8), (-50, [-1.0] * 8)]  # ids of several rows, a negative one
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<double>, cell int, score int").repartition(4)
     assert ordered(knn.top_k(df), "query_id", "rank", "vec_id", "score") == sorted(brute_top(vectors, 50, 5), key=repr)
 
 
+def test_scores_of_any_size(spark):
+    """Beyond 2^24, 2^53 and 2^63 the ranks follow the exact integers, also among vectors of very different lengths."""
+    rng = np.random.default_rng(9)
+    vectors = [(i, (rng.normal(0, 1, 3) * 10.0 ** rng.integers(0, 14)).tolist()) for i in range(200)]
+    vectors += [(200 + i, [1e14, float(i), -1e14]) for i in range(10)] + [(300, [1e14, 1.0, 1e14]), (350, [-1e14, 1.0, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    assert ordered(knn.top_k(df), "query_id", "rank", "vec_id", "score") == sorted(brute_top(vectors, 50, 5), key=repr)
+
+
+def test_cells_that_are_not_needed():
+    """Vectors in clusters: under half of the pairs of query and cell are left, and none that holds a result."""
+    rng = np.random.default_rng(1)
+    x = np.floor(256 * (rng.normal(0, 1, (20, 16))[rng.integers(0, 20, 4000)] + rng.normal(0, 0.1, (4000, 16))))
+    pivots = knn.choose_pivots(x[:640].copy(), 20)
+    cell, radius = knn._nearest(x, pivots)
+    along = (x * pivots[cell]).sum(axis=1) / knn._lengths(pivots)[cell]
+    across = np.sqrt(np.maximum((x**2).sum(axis=1) - along**2, 0))
+    of = lambda f, v: np.array([f(v[cell == i]) for i in range(20)])
+    cells = knn.Cells(pivots, np.bincount(cell, minlength=20), of(np.max, radius), of(np.min, along), of(np.max, along), of(np.max, across))
+    needed = cells.needed(x[::50], x[:500], 5)
+    scores = x[::50] @ x.T
+    scores[np.arange(80), np.arange(0, 4000, 50)] = -np.inf
+    assert all(needed[i, cell[np.argsort(-s)[:5]]].all() for i, s in enumerate(scores)) and needed.mean() < 0.5
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert ordered(knn.top_k(df), "query_id", "rank", "vec_id", "score") == [(0, 1, 1, 256 * 512)]

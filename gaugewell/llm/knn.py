@@ -272,7 +272,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     parts = -(-cells.count // PART)
     first = np.cumsum(parts) - parts
     dealt = placed.mapInArrow(_deal(cells, first, parts, sample[:SCORED], every, k), "target int, kind int, rows binary, ids binary, vectors binary")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(parts.sum()))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART)
     dealt = dealt.repartition(tasks, "target").sortWithinPartitions("target", "kind")
     best = dealt.mapInArrow(_solve(width, k), "row long, query_id long, vec_id long, score long, beyond int, big binary")
     rank = F.row_number().over(W.partitionBy("row").orderBy(F.desc("beyond"), F.desc("score"), F.desc("big"), "vec_id"))

@@ -590,18 +590,77 @@ def test_secrets_at_every_place(spark, monkeypatch):
     assert found == [False, True]
 
 
+LICENSES = licenses.templates()
+
+
 def test_licenses(spark):
-    text = lambda n: licenses.TEMPLATES[n]
-    rows = [(1, f"some words. {text('Apache-2.0')} more words"), (2, f"x {text('MIT')} y"), (3, None), (4, ""), (5, "the license of this song is mine, permission or not"), (6, text("GPL-3.0").replace("version 3", "version 9")), (7, text("GPL-2.0").upper() + " " + text("CC-BY-NC-4.0")), (8, text("MIT").replace("free of charge,", "at no cost,").replace("Software", "Program"))]
+    text = lambda n: LICENSES[n]
+    apache, gpl = "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 2."
+    rows = [(1, f"some words. {apache} more words"), (2, f"x {text('MIT')} y"), (3, None), (4, ""), (5, "the license of this song is mine, permission or not"), (6, gpl.replace("version 2", "version 9")), (7, gpl.upper() + " Licensed under CC BY-NC 4.0."), (8, text("MIT").replace("free of charge,", "at no cost,").replace("Software", "Program"))]
+    rows += [(2, f"x {text('MIT')} y"), (None, "Released under the MIT License.")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(0)).withColumn("license", F.lit(0))
     found = licenses.scan_licenses(df).collect()
     names = {}
     for r in found:
         names.setdefault(r.doc_id, []).append(r.license)
-    assert names[1] == ["Apache-2.0"] and names[2] == ["MIT"] and names[7] == ["GPL-2.0", "CC-BY-NC-4.0"]
+    assert names[1] == ["Apache-2.0"] and names[2] == ["MIT", "MIT"] and names[7] == ["GPL-2.0", "CC-BY-NC-4.0"] and names[None] == ["MIT"]
     assert not {3, 4, 5, 6} & set(names)
     one = next(r for r in found if r.doc_id == 1)
-    assert rows[0][1][one.start : one.end] == text("Apache-2.0") and not one.missing and one.saved_bytes > 0
+    assert rows[0][1][one.start : one.end] == apache and not one.missing and one.saved_bytes > 0
+
+
+@pytest.mark.parametrize(
+    "text, license_",
+    [
+        ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"),
+        ("GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991", "GPL-2.0"),
+        (LICENSES["BSD-3-Clause"].replace("\n", "\n * "), "BSD-3-Clause"),
+        (LICENSES["BSD-2-Clause"], "BSD-2-Clause"),
+        ("Boost Software License - Version 1.0 - August 17th, 2003", "BSL-1.0"),
+        (LICENSES["Unlicense"], "Unlicense"),
+        (LICENSES["MIT/warranty"], "MIT"),
+        ("Lizenz: Apache 2.0", "Apache-2.0"),
+        ("Licensed under the MIT License.", "MIT"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+        ("Dieses Werk ist Licensed under CC BY-SA 4.0, sagt man", "CC-BY-SA-4.0"),
+    ],
+)
+def test_everyday_markers(text, license_):
+    assert [f[0].split("/")[0] for f in licenses.Scanner(LICENSES).scan(f"one two {text} three four")] == [license_]
+
+
+def test_licenses_against_brute_force():
+    """Every template at every place, without telltale words and compression, gives the same findings."""
+    rng = random.Random(6)
+    few = {n: LICENSES[n] for n in sorted(LICENSES)[::9]} | {n: LICENSES[n] for n in ("MIT", "MIT/grant", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "GPL-3.0-or-later/header", "GPL-2.0-or-later/header")}
+    assert all(any(w in licenses.TELLTALE for w in licenses._folded(t)) for t in LICENSES.values())
+    scanner = licenses.Scanner(few)
+    for _ in range(12):
+        words = []
+        for name in rng.sample(sorted(few), 4):
+            piece = [w for w in few[name].split() if rng.random() > 0.03]
+            words += [rng.choice(["license", "and", "the", "software", "terms"]) for _ in range(rng.randint(0, 9))] + piece
+        text = " ".join(words)
+        folded, every = licenses._folded(text), []
+        for k, ws in enumerate(scanner.words):
+            for low in range(len(folded)):
+                if found := scanner._confirm(k, folded, low, min(len(folded), low + len(ws))):
+                    every.append((2 * len(found[2]) + len(found[3]) - len(ws), scanner.names[k], *found[:2]))
+        taken = []
+        for _, name, a, b in sorted(every):
+            if all(b < x or a > y for _, x, y in taken):
+                taken.append((name.split("/")[0], a, b))
+        got = [(f[0].split("/")[0], f[1]) for f in scanner.scan(text)]
+        starts = [m.start() for m in WORDS.finditer(text)]
+        assert sorted(got) == sorted((n, starts[a]) for n, a, _ in taken)
+
+
+def test_five_templates_at_one_place():
+    """All templates that a block may hold are compared: here the one that fits best is the last by compression."""
+    same = "permission is given to use this text for any purpose by anyone who asks for it in a letter or by telephone or in person"
+    named = {f"L{i}": f"{same} {'very ' * i}gladly and {'often ' * (5 - i)}indeed" for i in range(6)}
+    for name, text in named.items():
+        assert [f[0] for f in licenses.Scanner(named).scan(f"so {text} then")] == [name]
 
 
 # -- all together -------------------------------------------------------------------------------------------------------

@@ -1,8 +1,9 @@
 """Operator 4, line dedup by content-defined line chunks, in DataFrame functions only.
 
-A rolling hash over the hashes of the last two lines decides after which lines a chunk ends, so boundaries depend on
-what stands there and not on how many lines came before. Chunks of two lines or more whose hash occurs again anywhere
-are grouped by a digest and compared byte by byte within the group, and all but the first occurrence go.
+A rolling hash over the hashes of the last two lines marks lines; a chunk ends at a marked line whose line before is not
+marked, so boundaries depend on what stands around them and not on how many lines came before. A run of equal lines is
+never cut, and chunks have two lines or more, four on average. Chunks whose hash occurs again anywhere are grouped by a
+digest and compared byte by byte within the group, and all but the first occurrence go.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: A chunk ends where the rolling hash is divisible by this; factor of the line before.
-MODULUS, FACTOR = 4, 31
+#: The rolling hash: the line's hash plus FACTOR times that of the line before, modulo a prime; every MARKED-th value marks.
+FACTOR, PRIME, MARKED = 1_000_003, 2_147_483_647, 2
 #: Parts that each group of equal chunks is dealt over.
 SALTS = 16
 
@@ -28,8 +29,13 @@ def chunked(docs: DataFrame) -> DataFrame:
     lines = docs.select("doc_id", F.when(full, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>")).alias("lines"))
     hashed = lines.withColumn("h", F.transform("lines", _line_hash))
     before = lambda i: F.when(i > 0, F.get("h", i - 1)).otherwise(F.lit(0))
-    ends_here = lambda h, i: ((h + FACTOR * before(i)) % MODULUS == 0) | (i == F.size("h") - 1)
-    marked = hashed.withColumn("ends", F.filter(F.transform("h", lambda h, i: F.when(ends_here(h, i), i)), lambda i: i.isNotNull()))
+    rolled = lambda h, i: (h + FACTOR * before(i)) % PRIME
+    marks = lambda h, i: (rolled(h, i) % MARKED == 0) & ~h.eqNullSafe(F.get("h", i + 1))
+    marked = hashed.withColumn("marks", F.transform("h", marks))
+    last = F.size("h") - 1
+    inner = lambda m, i: m & ~F.get("marks", i - 1) & (i < last - 1)
+    ends_here = lambda m, i: F.when(i == last, True).when(i == 0, False).otherwise(inner(m, i))
+    marked = marked.withColumn("ends", F.filter(F.transform("marks", lambda m, i: F.when(ends_here(m, i), i)), lambda i: i.isNotNull()))
     begin = lambda k: F.when(k > 0, F.get("ends", k - 1) + 1).otherwise(F.lit(0))
     body = lambda end, k: F.array_join(F.slice("lines", begin(k) + 1, end - begin(k) + 1), "\n")
     cut = marked.withColumn("chunks", F.transform("ends", lambda end, k: F.struct(k.alias("k"), (end - begin(k) + 1).alias("n"), body(end, k).alias("body"))))
@@ -41,21 +47,25 @@ def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, k, key of the chunks that go: of two lines or more, with an equal one in a smaller doc_id (null ids
     last) or earlier in the document."""
     chunks = chunked(docs).select("doc_id", F.explode(F.filter("chunks", lambda c: c["n"] > 1)).alias("c")).select("doc_id", "c.k", "c.key", "c.body")
-    again = materialize(chunks.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key"))
-    same = materialize(chunks.join(again, "key").withColumn("digest", F.unhex(F.sha2("body", 256))))
+    dealt = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("doc_id", "k"), F.lit(SALTS)).cast("int"))  # noqa: E731  a frequent chunk meets in many tasks
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    again = chunks.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key", salts)
+    same = dealt(chunks).join(materialize(again), ["key", "salt"]).drop("salt")
+    same = materialize(same.withColumn("digest", F.unhex(F.sha2("body", 256))))
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "k")
     one_text = F.min("body") == F.max("body")
     first = same.groupBy("key", "digest").agg(F.min(place).alias("first"), F.count("*").alias("times"), one_text.alias("equal")).filter("times > 1 and equal")
-    first = first.select("key", "digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a frequent chunk meets in many tasks
-    salted = same.select("doc_id", "k", "key", "digest", F.pmod(F.xxhash64("doc_id", "k"), F.lit(SALTS)).cast("int").alias("salt"))
+    first = first.select("key", "digest", "first", salts)
+    salted = dealt(same.select("doc_id", "k", "key", "digest"))
     return salted.join(first, ["key", "digest", "salt"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "k", "key")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept (text) of each document.
 
-    Null and empty texts have no lines. Rows that repeat a doc_id are one document: equal chunks of them share their
-    fate. A text that loses nothing comes back byte for byte.
+    Null and empty texts have no lines; a text of any length is cut whole, and an empty table gives no rows. Rows that
+    repeat a doc_id are one document: equal chunks of them share their fate. A text that loses nothing comes back byte
+    for byte.
     """
     gone = repeated(docs).groupBy("doc_id").agg(F.collect_set(F.struct("k", "key")).alias("gone")).withColumnRenamed("doc_id", "__id")
     rows = docs.select("doc_id", F.col("text").cast("string"))
@@ -79,7 +89,9 @@ SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
            FROM documents WHERE text <> ''),
 h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS v FROM l),
-r AS (SELECT *, (v + 31 * lag(v, 1, 0) OVER (PARTITION BY doc_id ORDER BY i)) % 4 = 0 AS e FROM h),
+m AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS lines, coalesce((v + 1000003 * lag(v, 1, 0) OVER w) % 2147483647 % 2 = 0 AND v IS DISTINCT FROM lead(v) OVER w, FALSE) AS m
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT *, i = lines OR (m AND NOT lag(m, 1, TRUE) OVER (PARTITION BY doc_id ORDER BY i) AND i < lines - 1) AS e FROM m),
 g AS (SELECT *, coalesce(sum(CASE WHEN e THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM r),
 c AS (SELECT doc_id, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM g GROUP BY doc_id, k),
 f AS (SELECT *, n > 1 AND row_number() OVER (PARTITION BY body, n > 1 ORDER BY doc_id, k) > 1 AS gone FROM c),

@@ -196,7 +196,7 @@ def _digests(ranks: dict[bytes, int], pattern: str):
                 starts = begin[np.cumsum(counts) - counts]
                 raw = text.tobytes()
                 out = {
-                    "doc_id": part.column("doc_id"),
+                    **{c: part.column(c) for c in part.schema.names if c != "text"},
                     "n_tokens": pa.array(counts, pa.int64()),
                     "ids_sha256": pa.array([hashlib.sha256(c).hexdigest() for c in coded]),
                     "decoded_sha256": pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]),
@@ -232,8 +232,8 @@ def _texts(ranks: dict[bytes, int]):
     return run
 
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+def _narrow(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), *(F.col(c).cast("string") for c in more), text_or_empty().alias("text"))
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -248,14 +248,17 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(_texts(ranks), "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document: its ids and the bytes that they decode to.
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``more`` as text, n_tokens, ids_sha256, decoded_sha256 of each document: its ids and the bytes
+    that they decode to.
 
     Null counts as empty: no tokens, digests of nothing. A text of any length is encoded whole. Every row is encoded
-    for itself, so repeated rows and null ids get their own results.
+    for itself, so repeated rows and null ids get their own results. An empty table gives no rows.
     """
     ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
-    return _narrow(docs).mapInArrow(_digests(ranks, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names = "".join(f"`{c}` string, " for c in more)
+    schema = f"doc_id long, {names}n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _narrow(docs, more).mapInArrow(_digests(ranks, pattern), schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,41 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/gaugewell-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
+class Scope:
+    """Paths of scratch tables in the order in which they were written."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_SCOPES: ContextVar[tuple[Scope, ...]] = ContextVar("scopes", default=())
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    path = f"{scratch_root(spark)}/{name}"
+    for scope in _SCOPES.get():
+        scope.paths.append(path)
+    return path
+
+
+@contextmanager
+def last_only(spark: SparkSession) -> Iterator[None]:
+    """Of the scratch tables written inside, only the last one is left at the end."""
+    scope = Scope()
+    token = _SCOPES.set((*_SCOPES.get(), scope))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in scope.paths[:-1]:
+            _delete(spark, path)
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: lineage ends, lost executors don't matter."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    path = _path(spark, uuid.uuid4().hex)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,22 +94,30 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     return rows.join(parts, "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
 
 
-@contextmanager
-def bucketed(df: DataFrame, key: str, buckets: int) -> Iterator[DataFrame]:
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """``df`` written to the shared folder in buckets of ``key``, so that joins and cogroups by it move only the other
-    side. The table's name goes at the end; its files stay as those of ``materialize`` do."""
+    side. The catalog's entry is needed only to read the table's layout; the files stay as those of ``materialize`` do."""
     spark, name = df.sparkSession, f"gaugewell_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, key).write.option("compression", "zstd").option("path", f"{scratch_root(spark)}/{name}")
+    writer = df.repartition(buckets, key).write.option("compression", "zstd").option("path", _path(spark, name))
     writer.bucketBy(buckets, key).sortBy(key).saveAsTable(name, format="parquet")
-    try:
-        yield spark.table(name)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    out = spark.table(name)
+    out.schema  # the plan is made while the entry is there
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, which sizes of buckets and tasks follow."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Removes every scratch table of this application; results that still read them must be consumed before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    _delete(spark, scratch_root(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

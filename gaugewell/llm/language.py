@@ -255,7 +255,9 @@ def _predict(model: Model, keep: bool):
                 best[unknown], score[unknown] = len(names) - 1, 0.0
                 if keep:
                     wanted = [c for c in part.schema.names if c not in ("__text", "__letter")]
-                    yield part.select(wanted).filter(pa.array(~unknown))
+                    said = pa.array(names[best].tolist(), pa.string())
+                    columns = [said.cast(part.column(c).type) if c == "lang" else part.column(c) for c in wanted]
+                    yield pa.RecordBatch.from_arrays(columns, wanted).filter(pa.array(~unknown))
                 else:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -278,7 +280,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that have a language, all columns; those that would be ``und`` go."""
+    """The rows of ``docs`` that have a language, all columns, with the predicted language as ``lang`` if they have such
+    a column; those that would be ``und`` (null text, no letter) go. Repeated rows and null ids are rows like others."""
     return docs.select("*", *_prepared()).mapInArrow(_predict(model, True), docs.schema)
 
 

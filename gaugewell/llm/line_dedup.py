@@ -3,7 +3,8 @@
 A rolling hash over the hashes of the last two lines marks lines; a chunk ends at a marked line whose line before is not
 marked, so boundaries depend on what stands around them and not on how many lines came before. A run of equal lines is
 never cut, and chunks have two lines or more, four on average. Chunks whose hash occurs again anywhere are grouped by a
-digest and compared byte by byte within the group, and all but the first occurrence go.
+digest; the first occurrence's bytes travel to the others and are compared with theirs, and those that are equal go.
+Texts are written once in buckets, so that afterwards only digests and the bytes of repeated chunks move.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bucketed, materialize, text_bytes
 
 #: The rolling hash: the line's hash plus FACTOR times that of the line before, modulo a prime; every MARKED-th value marks.
 FACTOR, PRIME, MARKED = 1_000_003, 2_147_483_647, 2
-#: Parts that each group of equal chunks is dealt over.
-SALTS = 16
+#: Parts that each group of equal chunks is dealt over; chunks for each part in which the first one's bytes are sent.
+SALTS, PART = 16, 4096
+#: Bytes of text of a task.
+TASK_BYTES = 32 << 20
 
 
 def _line_hash(line: Column) -> Column:
@@ -24,9 +27,10 @@ def _line_hash(line: Column) -> Column:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """doc_id and its chunks: k (from 0), n (lines), key (hash of the body), body (lines joined by LF)."""
+    """``docs`` with the chunks of its column text in its place: k (from 0), n (lines), body (lines joined by LF)."""
     full = F.col("text").isNotNull() & (F.col("text") != "")
-    lines = docs.select("doc_id", F.when(full, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>")).alias("lines"))
+    others = [c for c in docs.columns if c != "text"]
+    lines = docs.select(*others, F.when(full, F.split("text", "\n", -1)).otherwise(F.array().cast("array<string>")).alias("lines"))
     hashed = lines.withColumn("h", F.transform("lines", _line_hash))
     before = lambda i: F.when(i > 0, F.get("h", i - 1)).otherwise(F.lit(0))
     rolled = lambda h, i: (h + FACTOR * before(i)) % PRIME
@@ -38,42 +42,46 @@ def chunked(docs: DataFrame) -> DataFrame:
     marked = marked.withColumn("ends", F.filter(F.transform("marks", lambda m, i: F.when(ends_here(m, i), i)), lambda i: i.isNotNull()))
     begin = lambda k: F.when(k > 0, F.get("ends", k - 1) + 1).otherwise(F.lit(0))
     body = lambda end, k: F.array_join(F.slice("lines", begin(k) + 1, end - begin(k) + 1), "\n")
-    cut = marked.withColumn("chunks", F.transform("ends", lambda end, k: F.struct(k.alias("k"), (end - begin(k) + 1).alias("n"), body(end, k).alias("body"))))
-    keyed = F.transform("chunks", lambda c: F.struct(c["k"].alias("k"), c["n"].alias("n"), F.xxhash64(c["body"]).alias("key"), c["body"].alias("body")))
-    return cut.select("doc_id", keyed.alias("chunks"))
-
-
-def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, k, key of the chunks that go: of two lines or more, with an equal one in a smaller doc_id (null ids
-    last) or earlier in the document."""
-    chunks = chunked(docs).select("doc_id", F.explode(F.filter("chunks", lambda c: c["n"] > 1)).alias("c")).select("doc_id", "c.k", "c.key", "c.body")
-    dealt = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("doc_id", "k"), F.lit(SALTS)).cast("int"))  # noqa: E731  a frequent chunk meets in many tasks
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    again = chunks.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key", salts)
-    same = dealt(chunks).join(materialize(again), ["key", "salt"]).drop("salt")
-    same = materialize(same.withColumn("digest", F.unhex(F.sha2("body", 256))))
-    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "k")
-    one_text = F.min("body") == F.max("body")
-    first = same.groupBy("key", "digest").agg(F.min(place).alias("first"), F.count("*").alias("times"), one_text.alias("equal")).filter("times > 1 and equal")
-    first = first.select("key", "digest", "first", salts)
-    salted = dealt(same.select("doc_id", "k", "key", "digest"))
-    return salted.join(first, ["key", "digest", "salt"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "k", "key")
+    chunks = F.transform("ends", lambda end, k: F.struct(k.alias("k"), (end - begin(k) + 1).alias("n"), body(end, k).alias("body")))
+    return marked.select(*others, chunks.alias("chunks"))
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """row, gone: k and body of the first equal chunk, for the chunks of ``rows`` (row, doc_id, text) that go: those of two
+    lines or more with an equal one in a smaller doc_id (null ids last) or earlier in the document."""
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "k", "row")
+    chunks = chunked(rows).select("row", "doc_id", F.explode(F.filter("chunks", lambda c: c["n"] > 1)).alias("c"))
+    chunks = materialize(chunks.select("row", "doc_id", "c.k", F.unhex(F.sha2("c.body", 256)).alias("digest")))
+    first = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
+    first = materialize(first.withColumn("parts", F.least(F.lit(SALTS), F.ceil(F.col("times") / PART)).cast("int")))
+    salted = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n) - 1 if isinstance(n, int) else F.col(n) - 1)).alias("salt")
+    salt = F.pmod(F.xxhash64("row", "k"), F.lit(SALTS)).cast("int")
+    later = chunks.withColumn("salt", salt).join(first.select("*", salted(SALTS)), ["digest", "salt"])  # a frequent chunk meets in many tasks
+    later = later.filter((F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.k") == F.col("k"))) == F.lit(False))
+    later = later.select("row", "k", "digest", F.pmod("salt", "parts").cast("int").alias("salt"))
+    owned = first.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("first.k", "digest", "parts")).alias("owned"))
+    firsts = chunked(rows.select("row", "text")).join(owned, "row")
+    sent = F.transform("owned", lambda o: F.struct(o["digest"].alias("digest"), o["parts"].alias("parts"), F.get("chunks", o["k"])["body"].alias("body")))
+    firsts = firsts.select(F.explode(sent).alias("s")).select("s.*").select("digest", "body", salted("parts"))
+    gone = later.join(firsts, ["digest", "salt"])
+    return gone.groupBy("row").agg(F.collect_list(F.struct("k", "body")).alias("gone"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept (text) of each document.
 
     Null and empty texts have no lines; a text of any length is cut whole, and an empty table gives no rows. Rows that
-    repeat a doc_id are one document: equal chunks of them share their fate. A text that loses nothing comes back byte
-    for byte.
+    repeat a doc_id are one document: equal chunks at the same place in them share their fate. A text that loses nothing
+    comes back byte for byte.
     """
-    gone = repeated(docs).groupBy("doc_id").agg(F.collect_set(F.struct("k", "key")).alias("gone")).withColumnRenamed("doc_id", "__id")
-    rows = docs.select("doc_id", F.col("text").cast("string"))
-    with_gone = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__id"]), "left")
-    cut = chunked(with_gone.select(F.struct("doc_id", "gone").alias("doc_id"), "text")).select("doc_id.doc_id", "doc_id.gone", "chunks")
-    mine = F.filter(F.coalesce("gone", F.array().cast("array<struct<k:int,key:bigint>>")), lambda g: F.get("chunks", g["k"])["key"] == g["key"])
-    picked = cut.withColumn("out", F.transform(mine, lambda g: g["k"]))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs) // TASK_BYTES)
+    rows = bucketed(rows, "row", tasks)
+    cut = chunked(rows.join(materialize(repeated(rows)), "row", "left"))
+    none = F.array().cast("array<struct<k:int,body:string>>")
+    equal = F.filter(F.coalesce("gone", none), lambda g: F.get("chunks", g["k"])["body"] == g["body"])  # byte by byte
     everyone = F.transform("chunks", lambda c: c["k"])
+    picked = cut.withColumn("out", F.transform(equal, lambda g: g["k"]))
     picked = picked.withColumn("left", F.array_except(everyone, "out"))
     lines = lambda ks: F.aggregate(ks, F.lit(0).cast("long"), lambda s, k: s + F.get("chunks", k)["n"])
     kept = F.array_join(F.transform("left", lambda k: F.get("chunks", k)["body"]), "\n")

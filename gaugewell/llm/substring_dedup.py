@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, bucketed, materialize, slices, utf8
+from .common import Words, bucketed, last_only, materialize, slices, text_bytes, utf8
 
 #: Words of a window (fixed value of the contract) and of a top symbol; rounds of recompression below it.
 WINDOW, KEY, ROUNDS = 13, 6, 2
@@ -533,10 +533,10 @@ def deduplicated(docs: DataFrame, full: bool = True, pack_bytes: int = PACK_BYTE
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size = text_bytes(docs)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
-    packs = docs.mapInArrow(_packs(pack_bytes), "pack long, body binary, ids array<long>, digests binary")
-    with bucketed(packs, "pack", tasks) as packs:
+    with last_only(spark):
+        packs = bucketed(docs.mapInArrow(_packs(pack_bytes), "pack long, body binary, ids array<long>, digests binary"), "pack", tasks)
         copies, packs = materialize(_copied(packs)), packs.select("pack", "body")
         for seed in count():
             out = materialize(_deduplicated(packs, copies, size, full, seed))

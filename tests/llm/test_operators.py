@@ -695,20 +695,56 @@ def test_empty_tables(spark, empty):
     assert secrets.candidates(empty).count() == licenses.scan_licenses(empty).count() == 0
 
 
-def test_pipeline(spark, tmp_path, rows):
+PIPELINE = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def stages(spark, df, folder):
+    """(columns, rows) after each stage but the last, each written and read again as ``run`` does."""
     import corpus_pipeline
 
-    docs = spark.createDataFrame([(r[0], r[1], r[2], r[3], len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    now, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    df.write.parquet(f"{folder}/documents.parquet")
+    now = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, str(tmp_path)).cache()
-        assert now.columns == docs.columns, name
-        kept.append({r.doc_id for r in now.collect()})
-    letters = {r[0] for r in rows if r[1] and any(c.isalpha() for c in r[1])}
-    assert kept[0] == letters
-    texts_left = {r[1] for r in rows if r[0] in letters}
-    assert len(kept[1]) == len(texts_left)
-    assert kept[2] <= kept[1] and kept[3] <= kept[2]
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert sum(r.n_tokens for r in out.collect()) == sum(len(LIBRARY.encode_ordinary(r.text)) for r in now.collect())
+        stage(spark, now, folder).write.parquet(f"{folder}/{name}")
+        now = spark.read.parquet(f"{folder}/{name}")
+        assert now.columns == df.columns, name
+        yield now.collect()
+
+
+def test_pipeline(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(r[0], r[1], r[2], r[3], len(r[1] or "")) for r in rows], PIPELINE)
+    named, exact, near, mix = stages(spark, docs.repartition(4), str(tmp_path))
+    with_letters = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    assert sorted((r.doc_id, r.text) for r in named if r.doc_id is not None) == sorted((r[0], r[1]) for r in with_letters if r[0] is not None)
+    model = language.train(language.training_rows(docs))
+    said = {(r.doc_id): r.lang_pred for r in language.identify(docs, model).collect()}
+    assert len(named) == len(with_letters) and all(r.lang == said[r.doc_id] for r in named)
+    latest = {}
+    for r in with_letters:
+        latest[r[1]] = max(latest.get(r[1], -1), -1 if r[0] is None else r[0])
+    assert sorted((r.text, -1 if r.doc_id is None else r.doc_id) for r in exact) == sorted(latest.items())
+    groups = {}
+    for r, c in zip(exact, brute_components([simhash_of(r.text) for r in exact])):
+        groups.setdefault(c, []).append(r.doc_id)
+    assert sorted(r.doc_id for r in near) == sorted(min(g) for g in groups.values())
+    times = {r.doc_id: len(r.shards) for r in mixing.mix_counts(spark.read.parquet(f"{tmp_path}/near_dedup")).collect()}
+    assert sorted(r.doc_id for r in mix) == sorted(i for i, n in times.items() for _ in range(n))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    expected = []
+    for r in mix:
+        ids = LIBRARY.encode_ordinary(r.text)
+        raw = b"".join(i.to_bytes(4, "little") for i in ids)
+        expected.append((r.doc_id, r.lang, r.source, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()))
+    assert sorted(map(tuple, out), key=repr) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)] * 3, [(1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "12 34", None, None, 5)], [(3, "some words of a text", None, None, None)] * 5])
+def test_pipeline_of_odd_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    df = spark.createDataFrame(rows, PIPELINE)
+    kept = [len(x) for x in stages(spark, df, str(tmp_path))]
+    assert kept[:3] == ([5, 1, 1] if rows and rows[0][0] == 3 and len(rows) == 5 else [0, 0, 0]) or kept[0] == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept[3]

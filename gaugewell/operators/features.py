@@ -43,19 +43,19 @@ def engineer(master: DataFrame) -> DataFrame:
     )
 
 
-def eligibility(features: DataFrame, columns: list[str] = CORE) -> DataFrame:
-    """One row: jobs, those with each availability, those with each feature, those with all."""
-    whole = F.lit(True)
-    for name in columns:
-        whole = whole & finite(F.col(name))
-    flags = ["has_telemetry", "has_gpu_request", "has_execution_timing"]
-    return features.agg(
-        F.count("*").alias("total_jobs"),
-        *[F.count_if(F.col(f) == 1).alias(f"jobs_{f}") for f in flags],
-        *[F.count_if(finite(F.col(n))).alias(f"valid_{n}") for n in columns],
-        F.count_if(whole).alias("complete_jobs"),
-        F.round(F.try_divide(100.0 * F.count_if(whole), F.count("*")), 4).alias("complete_percent"),
-    )
+#: Features whose absence the eligibility report counts (fixed list).
+REPORTED = [
+    "gpu_idle_ratio", "gpu_utilization_intensity", "gpu_memory_intensity", "memory_intensity", "cpu_usage_transformed", "resource_efficiency_score",
+    "cpu_gpu_imbalance", "io_intensity", "runtime_log", "task_fanout", "machine_count", "plan_cpu_mean", "plan_mem_mean", "gpu_demand_scale",
+]
+
+
+def eligibility(features: DataFrame) -> DataFrame:
+    """One row: jobs, those with and without each availability, those that lack each of the 14 reported features."""
+    flags = {"telemetry": "has_telemetry", "gpu_request": "has_gpu_request", "execution_timing": "has_execution_timing"}
+    both = [(f"jobs_{word}_{name}", F.count_if(F.col(f) == v)) for name, f in flags.items() for word, v in (("with", 1), ("without", 0))]
+    lacking = [(f"missing_{n}", F.count_if(F.col(n).isNull())) for n in REPORTED]
+    return features.agg(F.count("*").alias("total_jobs"), *[v.alias(k) for k, v in [*both, *lacking]])
 
 
 def audit(features: DataFrame, columns: list[str] = ENGINEERED) -> DataFrame:

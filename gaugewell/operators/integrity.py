@@ -13,24 +13,34 @@ def _known(keys: list[str]) -> Column:
     return out
 
 
-def coverage(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: child rows, matched, unmatched (null keys never match), null-key rows, percentage, status.
+def coverage(child: DataFrame, parent: DataFrame, keys: list[str], null_unmatched: bool = True) -> DataFrame:
+    """One row: child rows, matched, unmatched (null keys never match, and count here only if ``null_unmatched``),
+    null-key rows, percentage, status.
 
     The parent's different keys are one semi side: rows can't multiply, and the join stays an equi-join.
     """
     right = parent.select(*keys).dropna().distinct().withColumn("__hit", F.lit(1))
     joined = child.select(*keys).join(right, keys, "left")
     out = joined.agg(F.count("*").alias("total_rows"), F.count("__hit").alias("matched_rows"), F.count_if(~_known(keys)).alias("null_key_rows"))
-    return out.select(
+    unmatched = F.col("total_rows") - F.col("matched_rows") - (F.lit(0) if null_unmatched else F.col("null_key_rows"))
+    return out.withColumn("unmatched_rows", unmatched).select(
         "total_rows",
         "matched_rows",
-        (F.col("total_rows") - F.col("matched_rows")).alias("unmatched_rows"),
+        "unmatched_rows",
         "null_key_rows",
         F.round(F.try_divide(100.0 * F.col("matched_rows"), F.col("total_rows")), 4).alias("matched_percent"),
-        F.when(F.col("matched_rows") == F.col("total_rows"), "OK").otherwise("WARNING").alias("status"),
+        F.when(F.col("unmatched_rows") == 0, "OK").otherwise("WARNING").alias("status"),
     )
 
 
+def full_coverage(child: DataFrame, parent: DataFrame, keys: list[str], null_unmatched: bool = True) -> DataFrame:
+    """One row: ``coverage`` of the child's rows and, beside it, how many different keys of the parent have a child."""
+    keyed = distinct_coverage(parent, child, keys)
+    share = F.round(F.try_divide(100.0 * F.col("common_keys"), F.col("left_keys")), 4)
+    keyed = keyed.select(F.col("left_keys").alias("parent_keys"), F.col("common_keys").alias("parent_keys_matched"), share.alias("parent_percent"))
+    return coverage(child, parent, keys, null_unmatched).crossJoin(keyed)  # one row each
+
+
 def distinct_coverage(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """One row: different keys on each side, common, only left, only right. Keys with a null don't count."""
     a = left.select(*keys).dropna().distinct().withColumn("__a", F.lit(1))

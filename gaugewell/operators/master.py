@@ -1,4 +1,4 @@
-"""The job master: five left joins on one key, coverage and availability flags, gates."""
+"""The job master: three left joins on one key, coverage and availability flags, gates."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ def job_master(job: DataFrame, task: DataFrame, instance: DataFrame, sensor: Dat
     """One row per job. All right sides are unique by construction, so the row count is that of ``job``."""
     base = job.select("job_name", "user", F.col("status").alias("job_status"), F.col("start_time").alias("job_start_time"), F.col("end_time").alias("job_end_time"))
     out = base
-    for side in (summaries.task_summary(task), summaries.instance_summary(instance), summaries.sensor_summary(sensor), summaries.group_summary(instance, group), summaries.spec_summary(instance, spec)):
+    for side in (summaries.task_summary(task), summaries.instance_rollup(instance, group, spec), summaries.sensor_summary(sensor)):
         out = out.join(side, "job_name", "left")
     zero = F.lit(0)
     return out.withColumns(

@@ -95,11 +95,17 @@ def validate(matrix: DataFrame, columns: list[str]) -> DataFrame:
     return matrix
 
 
-def scaling_audit(matrix: DataFrame, columns: list[str], kind: str) -> DataFrame:
-    """PASS or REVIEW for each feature: robust has median 0 and IQR 1, standard mean 0 and deviation 1."""
-    s = feature_stats(matrix, columns)
+def scaling_audit(matrix: DataFrame, columns: list[str], name: str, kind: str) -> DataFrame:
+    """matrix, feature, mean, sample deviation, median, IQR, expected_scaling and scale_status (PASS or REVIEW): robust
+    has median 0 and IQR 1, standard has mean 0 and deviation 1. One value has deviation 0."""
     ok = (F.abs("median") < 1e-6) & (F.abs(F.col("iqr") - 1) < 0.10) if kind == "robust" else (F.abs("mean") < 0.10) & (F.abs(F.col("std") - 1) < 0.10)
-    return s.select("feature", "mean", "std", "median", "iqr", F.when(ok, "PASS").otherwise("REVIEW").alias("status"))
+    rows = []
+    for c in columns:
+        std = F.when(F.count(c) > 1, F.stddev_samp(c)).when(F.count(c) == 1, 0.0).alias("std")
+        iqr = (F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))).alias("iqr")
+        rows.append(F.struct(F.lit(c).alias("feature"), F.avg(c).alias("mean"), std, F.median(c).alias("median"), iqr))
+    out = matrix.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return out.select(F.lit(name).alias("matrix"), "feature", "mean", "std", "median", "iqr", F.lit(kind).alias("expected_scaling"), F.when(ok, "PASS").otherwise("REVIEW").alias("scale_status"))
 
 
 def vif(matrix: DataFrame, columns: list[str]) -> DataFrame:
@@ -142,29 +148,29 @@ def ratio_review(df: DataFrame, columns: list[str] = RATIOS) -> DataFrame:
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
-#: Axis and input of each feature (fixed values of the feature dictionary).
+#: Feature, axis, rationale and status of the feature dictionary.
 DICTIONARY = [
-    ("plan_cpu_mean", "demand", "requested CPU", "core"),
-    ("plan_mem_mean", "demand", "requested memory", "core"),
-    ("gpu_demand_scale", "demand", "log of requested GPU", "core"),
-    ("gpu_utilization_intensity", "usage", "log of GPU utilisation where observed", "core"),
-    ("gpu_memory_intensity", "usage", "log of GPU memory", "core"),
-    ("memory_intensity", "usage", "log of memory", "core"),
-    ("cpu_usage_transformed", "usage", "log of CPU usage", "core"),
-    ("resource_efficiency_score", "efficiency", "used over requested GPU", "core"),
-    ("cpu_gpu_imbalance", "efficiency", "CPU use over request less GPU efficiency", "core"),
-    ("io_intensity", "io", "log of bytes moved in a second of runtime", "core"),
-    ("runtime_log", "time", "log of summed instance hours", "core"),
-    ("task_fanout", "shape", "log of the number of tasks", "core"),
-    ("gpu_active_flag", "usage", "1 if any GPU use was observed", "support"),
-    ("gpu_idle_ratio", "usage", "1 less utilisation", "excluded: linear in utilisation"),
-    ("machine_count", "shape", "different machines", "support"),
-    ("telemetry_coverage", "quality", "share of instances with telemetry", "quality"),
-    ("has_telemetry", "quality", "any telemetry", "quality"),
-    ("has_gpu_request", "quality", "any GPU request", "quality"),
-    ("has_execution_timing", "quality", "any valid times", "quality"),
-    ("job_status", "label", "state of the job", "profile only"),
-    ("user", "label", "owner of the job", "profile only"),
+    ("plan_cpu_mean", "Resource Requirement", "Primary CPU demand", "CORE"),
+    ("plan_mem_mean", "Resource Requirement", "Primary memory demand", "CORE"),
+    ("gpu_demand_scale", "Resource Requirement", "Log-scaled GPU allocation magnitude", "CORE"),
+    ("gpu_utilization_intensity", "Utilization Behavior", "GPU compute intensity", "CORE"),
+    ("gpu_memory_intensity", "Utilization Behavior", "GPU memory footprint", "CORE"),
+    ("memory_intensity", "Utilization Behavior", "Host-memory intensity", "CORE"),
+    ("cpu_usage_transformed", "Utilization Behavior", "CPU consumption", "CORE"),
+    ("resource_efficiency_score", "Utilization Behavior", "GPU allocation-utilization relationship", "CORE"),
+    ("cpu_gpu_imbalance", "Utilization Behavior", "Relative CPU-GPU utilization imbalance", "CORE"),
+    ("io_intensity", "Utilization Behavior", "I/O activity per runtime", "CORE"),
+    ("gpu_idle_ratio", "Utilization Behavior", "GPU idleness; redundant with transformed GPU utilization", "INTERPRETATION_ONLY"),
+    ("runtime_log", "Execution Characteristics", "Execution duration", "CORE"),
+    ("task_fanout", "Execution Characteristics", "Task/job fan-out", "CORE"),
+    ("machine_count", "Execution Characteristics", "Machine execution footprint; redundant with task fan-out", "INTERPRETATION_ONLY"),
+    ("job_name", "Identifier", "Job identifier; not behavioral", "EXCLUDED"),
+    ("user", "Context", "Post-cluster analysis only", "EXCLUDED"),
+    ("job_status", "Context", "Outcome validation only", "EXCLUDED"),
+    ("has_telemetry", "Context", "Observability guardrail", "EXCLUDED"),
+    ("telemetry_coverage", "Context", "Observability guardrail", "EXCLUDED"),
+    ("has_gpu_request", "Context", "Availability guardrail", "EXCLUDED"),
+    ("has_execution_timing", "Context", "Availability guardrail", "EXCLUDED"),
 ]
 
 
@@ -172,21 +178,85 @@ def feature_dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DICTIONARY, "feature string, axis string, rationale string, status string")
 
 
+#: Which features lack values for which reason (fixed groups); all others for the last.
+REASONS = {
+    "ratio of sources that are missing or zero": ["resource_efficiency_score", "cpu_gpu_imbalance"],
+    "defined only for observed utilization within 0 to 100": ["gpu_idle_ratio"],
+    "log of a measurement that is absent or invalid": ["gpu_utilization_intensity", "gpu_memory_intensity"],
+    "execution metadata that the job lacks": ["runtime_log", "task_fanout", "machine_count"],
+}
+OTHER_REASON = "source quantity that is absent or not finite"
+
+
 def provenance(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Where values of a feature are missing, and the layer that it depends on."""
-    reason = lambda c: "telemetry" if any(x in c for x in ("util", "memory", "cpu_usage", "efficiency", "imbalance")) else "execution timing and telemetry" if "io_" in c else "execution timing" if "runtime" in c else "task requests"
-    rows = [F.struct(F.lit(c).alias("feature"), F.count(c).alias("available"), F.count_if(F.col(c).isNull()).alias("missing"), F.lit(reason(c)).alias("depends_on")) for c in columns]
+    """A row for each feature: missing, infinite, zero and negative values, and the likely reason of missing ones."""
+    reason = {f: r for r, fs in REASONS.items() for f in fs}
+    rows = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        share = F.round(F.try_divide(100.0 * F.count_if(x.isNull()), F.count("*")), 4)
+        rows.append(
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.count_if(x.isNull()).alias("missing_count"),
+                share.alias("missing_percentage"),
+                F.count_if(F.abs(x) == float("inf")).alias("inf_count"),
+                F.count_if(x == 0).alias("zero_count"),
+                F.count_if(x < 0).alias("negative_count"),
+                F.lit(reason.get(c, OTHER_REASON)).alias("likely_reason"),
+            )
+        )
     return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
+def alignment(eligible: DataFrame, matrix: DataFrame, key: str) -> DataFrame:
+    """One row: rows of the eligible population and of its matrix, keys that either lacks, keys that repeat, and whether the
+    two are aligned."""
+    left = eligible.groupBy(key).agg(F.count("*").alias("__l"))
+    right = matrix.groupBy(key).agg(F.count("*").alias("__r"))
+    both = left.join(right, key, "full")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = both.agg(
+        zero("__l").alias("eligible_rows"),
+        zero("__r").alias("matrix_rows"),
+        F.count_if(F.col("__r").isNull()).alias("missing_in_matrix"),
+        F.count_if(F.col("__l").isNull()).alias("unknown_in_matrix"),
+        F.count_if((F.coalesce("__l", F.lit(1)) > 1) | (F.coalesce("__r", F.lit(1)) > 1)).alias("repeated_keys"),
+    )
+    return out.withColumn("aligned", (F.col("missing_in_matrix") == 0) & (F.col("unknown_in_matrix") == 0) & (F.col("repeated_keys") == 0))
+
+
+def validate_alignment(eligible: DataFrame, matrix: DataFrame, key: str) -> DataFrame:
+    found = alignment(eligible, matrix, key).first()
+    if not found.aligned:
+        raise ValueError(f"population and matrix are not aligned: {found}")
+    return matrix
+
+
 def decision_report(features: DataFrame, key: str, columns: list[str] = CORE) -> DataFrame:
-    """section, finding, value: what to decide before clustering, from the data alone."""
-    spark = features.sparkSession
-    core = complete_cases(features, columns).select(key, *columns)
+    """check, result, status (PASS, REVIEW, FAIL) of the checks A to H before clustering, computed from the data."""
+    spark, made = features.sparkSession, matrices(features, key, columns)
+    robust, standard = made["robust"], made["standard"]
+    audits = {name: matrix_audit(m, columns).first() for name, m in made.items()}
+    broken = sum(a.nan_count + a.infinite_count for a in audits.values())
+    lacking = provenance(features, columns).filter("missing_count > 0").count()
+    wide = ratio_review(features).collect()  # one row for each ratio
+    strong = correlation_pairs(robust, columns, 0.80).collect()  # at most pairs of features
+    inflation = vif(robust, columns).collect()
+    scales = scaling_audit(robust, columns, "hdbscan", "robust").unionByName(scaling_audit(standard, columns, "kmeans", "standard"))
+    off = scales.filter("scale_status = 'REVIEW'").count()
     counts = case_counts(features, columns).first()
-    strong = correlation_pairs(core, columns, 0.80).collect()
-    inflated = [r for r in vif(core, columns).collect() if r.high]
-    repeated = matrix_audit(core, columns).first().duplicate_vectors
-    rows = [("A population", "complete cases", float(counts.complete)), ("A population", "complete percent", counts.complete_percent), ("B redundancy", "pairs with |r| >= 0.80", float(len(strong))), ("C collinearity", "features with VIF > 5", float(len(inflated))), ("D duplicates", "repeated vectors", float(repeated))]
-    rows += [("B redundancy", f"{r.x} ~ {r.y}", r.r) for r in strong] + [("C collinearity", r.feature, r.vif) for r in inflated]
-    return spark.createDataFrame(rows, "section string, finding string, value double")
+    repeated = audits["robust"].duplicate_vectors
+    over = lambda least: sum(r.vif > least for r in inflation)
+    review = lambda bad: "REVIEW" if bad else "PASS"
+    rows = [
+        ("A. NaN/Inf integrity", f"{broken} values not finite in matrices; {lacking} source features lack values", review(broken)),
+        ("B. Ratio-feature validity", "; ".join(f"{r.feature}: {r.p01} to {r.p99} (1 % to 99 %)" for r in wide), "REVIEW"),
+        ("C. Correlation redundancy", f"{len(strong)} pairs with |r| >= 0.80", review(strong)),
+        ("D. VIF/multicollinearity", f"VIF > 5: {over(5)}; VIF > 10: {over(10)}", review(over(5))),
+        ("E. Scaling", f"{off} features off their expected scaling", review(off)),
+        ("F. Excluded-population composition", f"eligible {counts.complete}, excluded {counts.excluded}, {counts.complete_percent} %", "REVIEW"),
+        ("G. Duplicate behavioral vectors", f"{repeated} repeated vectors", "PASS"),
+        ("H. Temporal-shape support", "no feature of the job's course over time", "FAIL"),
+    ]
+    return spark.createDataFrame(rows, "check string, result string, status string")

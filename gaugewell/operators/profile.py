@@ -39,15 +39,27 @@ def status_distribution(df: DataFrame, status: str = "status") -> DataFrame:
     return df.groupBy(status).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last(status))
 
 
+_TIMES = {"start_time missing": "start_time is null", "end_time missing": "end_time is null", "end_before_start": "end_time < start_time"}
 #: Range rules of each raw table: name -> SQL predicate of a violation (fixed rules).
 RANGE_RULES = {
-    "job": {"end_before_start": "end_time < start_time", "negative_start": "start_time < 0", "negative_end": "end_time < 0"},
-    "task": {"end_before_start": "end_time < start_time", "negative_inst_num": "inst_num < 0", "negative_plan_cpu": "plan_cpu < 0", "negative_plan_mem": "plan_mem < 0", "negative_plan_gpu": "plan_gpu < 0"},
-    "instance": {"end_before_start": "end_time < start_time"},
-    "sensor": {"util_below_0": "gpu_wrk_util < 0", "util_above_100": "gpu_wrk_util > 100", "negative_cpu": "cpu_usage < 0", "negative_memory": "avg_mem < 0 or max_mem < 0", "negative_io": "read < 0 or write < 0"},
-    "machine_spec": {"negative_cap_cpu": "cap_cpu < 0", "negative_cap_mem": "cap_mem < 0", "negative_cap_gpu": "cap_gpu < 0"},
-    "machine_metric": {"end_before_start": "end_time < start_time"},
+    "job": _TIMES,
+    "task": {f"{c} < 0": f"{c} < 0" for c in ("inst_num", "plan_cpu", "plan_mem", "plan_gpu")},
+    "instance": _TIMES,
+    "sensor": {"gpu_wrk_util < 0": "gpu_wrk_util < 0", "gpu_wrk_util > 100": "gpu_wrk_util > 100"}
+    | {f"{c} < 0": f"{c} < 0" for c in ("cpu_usage", "avg_mem", "max_mem", "avg_gpu_wrk_mem", "max_gpu_wrk_mem")},
+    "machine_metric": _TIMES,
 }
+#: Fields of a task whose absence is counted by status (fixed list).
+TASK_FIELDS = ["inst_num", "start_time", "end_time", "plan_cpu", "plan_mem", "plan_gpu", "gpu_type"]
+#: Relationships that are drawn (fixed list of pairs).
+RELATIONSHIPS = [
+    ("plan_gpu_mean", "gpu_utilization_mean"),
+    ("plan_cpu_mean", "gpu_utilization_mean"),
+    ("plan_mem_mean", "gpu_utilization_mean"),
+    ("task_runtime_hours_mean", "gpu_utilization_mean"),
+    ("avg_gpu_mem_mean", "gpu_utilization_mean"),
+    ("instance_runtime_hours_sum", "plan_gpu_mean"),
+]
 
 
 def range_violations(df: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -79,7 +91,15 @@ def overview(df: DataFrame, key: str) -> DataFrame:
 
 
 def dtypes(df: DataFrame) -> DataFrame:
-    return _rows(df, [F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("dtype"), F.count(c).alias("non_null"), F.count_distinct(c).alias("distinct_values")) for c, t in df.dtypes])
+    """A row for each column: type, values, different values. Columns are counted one after another, each by a two-stage
+    aggregate of its own values, as one aggregate of all would repeat every row for each column."""
+    out = None
+    for c, t in df.dtypes:
+        values = df.select(F.col(c).alias("v")).groupBy("v").agg(F.count("v").alias("n"))
+        one = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("non_null"), F.count("v").alias("distinct_values"))
+        one = one.select(F.lit(c).alias("column_name"), F.lit(t).alias("dtype"), "non_null", "distinct_values")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def missingness(df: DataFrame) -> DataFrame:
@@ -193,10 +213,13 @@ def boxplot(df: DataFrame, columns: list[str]) -> DataFrame:
     return _rows(df, rows)
 
 
-def scatter(df: DataFrame, x: str, y: str, key: str, rows: int) -> DataFrame:
+def scatter_pairs(df: DataFrame, key: str, rows: int, pairs: list[tuple[str, str]] = RELATIONSHIPS) -> DataFrame:
+    """x_column, y_column, key, x, y of one sample of the table for every pair, without rows that lack either value."""
     from .sampling import hash_sample
 
-    return hash_sample(df.select(key, x, y).dropna(), key, rows)
+    point = lambda x, y: F.struct(F.lit(x).alias("x_column"), F.lit(y).alias("y_column"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    sample = hash_sample(df, key, rows)
+    return sample.select(key, F.inline(F.array(*[point(x, y) for x, y in pairs]))).filter("x is not null and y is not null")
 
 
 def telemetry_stats(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def task_summary(tasks: DataFrame) -> DataFrame:
     hours = span(F.col("start_time"), F.col("end_time"), 3600.0)
     return tasks.groupBy("job_name").agg(
         F.count("*").alias("task_count"),
-        F.count_distinct("task_name").alias("distinct_task_count"),
+        F.count("task_name").alias("distinct_task_count"),  # each task is there once
         *[F.count_if(F.col("status") == s).alias(f"{s.lower()}_task_count") for s in STATUSES],
         F.sum("inst_num").alias("planned_instances"),
         *[f(c).alias(f"{c}_{n}") for c in ("plan_cpu", "plan_mem", "plan_gpu") for n, f in (("mean", F.avg), ("max", F.max))],
@@ -62,6 +62,29 @@ def sensor_summary(sensors: DataFrame) -> DataFrame:
     )
 
 
+def instance_rollup(instances: DataFrame, groups: DataFrame, spec: DataFrame) -> DataFrame:
+    """``instance_summary``, ``group_summary`` and ``spec_summary`` in one pass over the instances. Each group and machine
+    is there once, so the joins keep the rows. Instances without a machine are dealt over keys that no machine has."""
+    none = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("job_name", "inst_id"), F.lit(256)).cast("string"))
+    tags = groups.select("inst_id", "workload")
+    known = spec.select(F.col("machine").alias("__machine"), F.lit(1.0).alias("__hit"))
+    rows = instances.join(tags, "inst_id", "left").withColumn("__machine", F.coalesce("machine", none)).join(known, "__machine", "left")
+    hours = span(F.col("start_time"), F.col("end_time"), 3600.0)
+    return rows.groupBy("job_name").agg(
+        F.count("*").alias("instance_count"),
+        F.count(hours).alias("executable_instance_count"),
+        F.coalesce(F.sum(hours), F.lit(0.0)).alias("instance_runtime_hours_sum"),
+        F.avg(hours).alias("instance_runtime_hours_mean"),
+        F.max(hours).alias("instance_runtime_hours_max"),
+        F.count_distinct("machine").alias("machine_count"),
+        F.count_distinct("worker_name").alias("worker_count"),
+        F.count_distinct(F.when(F.col("workload").isNotNull(), F.col("inst_id"))).alias("tagged_instance_count"),
+        F.count_distinct("workload").alias("distinct_workload_tags"),
+        F.avg(F.coalesce("__hit", F.lit(0.0))).alias("machine_spec_coverage"),
+        F.count("*").alias("instances_with_machine_reference"),
+    )
+
+
 def group_summary(instances: DataFrame, groups: DataFrame) -> DataFrame:
     """Instances of a job whose group has a workload tag, and its different tags."""
     joined = instances.select("job_name", "inst_id").join(groups.select("inst_id", "workload"), "inst_id", "left")

@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, cluster, evaluate, features, integrity, prepare, profile, sampling, selection, semantic, summaries
+from ..operators import clean, cluster, evaluate, features, integrity, prepare, profile, sampling, semantic, summaries
 from ..operators.features import CORE
 from ..streaming import events
-from .trace import CTES, KEYS, TIES, cleaned, job_features, job_master, rounded, tables
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = CTES + sql
-        return f
-
-    return keep
-
+from .catalog import ORACLES, QUERIES, query
+from .trace import cleaned, job_features, job_master, rounded, tables
 
 def _round(columns: list[str]) -> str:
     return ", ".join(f"round({c} + 1e-7, 4) AS {c}" for c in columns)  # as trace.rounded does
@@ -61,11 +46,6 @@ def _(spark, d):
     return clean.rule_counts(tables(spark, d)["sensor"], ["cpu_usage"])
 
 
-@query("range_violations", "SELECT 'end_before_start' AS rule, CAST(count(*) FILTER (end_time < start_time) AS BIGINT) AS violations FROM task UNION ALL SELECT 'negative_inst_num', CAST(count(*) FILTER (inst_num < 0) AS BIGINT) FROM task UNION ALL SELECT 'negative_plan_cpu', CAST(count(*) FILTER (plan_cpu < 0) AS BIGINT) FROM task UNION ALL SELECT 'negative_plan_mem', CAST(count(*) FILTER (plan_mem < 0) AS BIGINT) FROM task UNION ALL SELECT 'negative_plan_gpu', CAST(count(*) FILTER (plan_gpu < 0) AS BIGINT) FROM task")
-def _(spark, d):
-    return profile.range_violations(tables(spark, d)["task"], profile.RANGE_RULES["task"])
-
-
 @query("quality", "SELECT 'job_status' AS column_name, CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (job_status IS NULL) AS BIGINT) AS null_count, CAST(count(*) FILTER (trim(coalesce(job_status, '')) = '') AS BIGINT) AS blank_count FROM master UNION ALL SELECT 'gpu_name', CAST(count(*) AS BIGINT), CAST(count(*) FILTER (gpu_name IS NULL) AS BIGINT), CAST(count(*) FILTER (trim(coalesce(gpu_name, '')) = '') AS BIGINT) FROM master UNION ALL SELECT 'cpu_usage_mean', CAST(count(*) AS BIGINT), CAST(count(*) FILTER (cpu_usage_mean IS NULL) AS BIGINT), CAST(NULL AS BIGINT) FROM master")
 def _(spark, d):
     return profile.quality(job_master(spark, d).select("job_status", "gpu_name", "cpu_usage_mean"))
@@ -129,12 +109,6 @@ def _(spark, d):
     return integrity.coverage(t["instance"], t["machine_spec"], ["machine"])
 
 
-@query("cov_machine_metric", _cov("instance", "(SELECT machine, worker_name FROM instance WHERE worker_name <> '1')", ["worker_name", "machine"]))
-def _(spark, d):
-    i = tables(spark, d)["instance"]
-    return integrity.coverage(i, i.filter("worker_name <> '1'"), ["worker_name", "machine"])
-
-
 @query("cov_distinct_keys", """SELECT (SELECT CAST(count(DISTINCT job_name) AS BIGINT) FROM job) AS left_keys, (SELECT CAST(count(DISTINCT job_name) AS BIGINT) FROM sensor) AS right_keys,
 (SELECT CAST(count(DISTINCT job_name) AS BIGINT) FROM job WHERE job_name IN (SELECT job_name FROM sensor)) AS common_keys, (SELECT CAST(count(DISTINCT job_name) AS BIGINT) FROM job WHERE job_name NOT IN (SELECT job_name FROM sensor)) AS left_only,
 (SELECT CAST(count(DISTINCT job_name) AS BIGINT) FROM sensor WHERE job_name NOT IN (SELECT job_name FROM job)) AS right_only""")
@@ -225,11 +199,6 @@ def _(spark, d):
     return rounded(job_features(spark, d).select("job_name", "gpu_active_flag", "machine_count", *_ENG))
 
 
-@query("modeling_eligibility", "SELECT CAST(count(*) AS BIGINT) AS total_jobs, " + ", ".join(f"CAST(count(*) FILTER ({f} = 1) AS BIGINT) AS jobs_{f}" for f in _FLAGS) + ", " + ", ".join(f"CAST(count({c}) AS BIGINT) AS valid_{c}" for c in CORE) + ", (SELECT CAST(count(*) AS BIGINT) FROM core) AS complete_jobs, round(100.0 * (SELECT count(*) FROM core) / count(*), 4) AS complete_percent FROM feat")
-def _(spark, d):
-    return features.eligibility(job_features(spark, d))
-
-
 def _audit(c: str) -> str:
     return f"""SELECT '{c}' AS feature, CAST(count({c}) AS BIGINT) AS valid_count, CAST(count(*) FILTER ({c} IS NULL) AS BIGINT) AS missing_count, CAST(0 AS BIGINT) AS infinite_count,
 CAST(count(*) FILTER ({c} = 0) AS BIGINT) AS zero_count, CAST(count(*) FILTER ({c} < 0) AS BIGINT) AS negative_count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std,
@@ -251,14 +220,17 @@ def _(spark, d):
 _EDA = ["plan_cpu_mean", "instance_runtime_hours_sum", "gpu_utilization_mean", "runtime_log", "task_count"]
 
 
-@query("overview", "SELECT CAST(count(*) AS BIGINT) AS rows, 3 AS columns, 2 AS numeric_columns, 1 AS other_columns, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_linestatus FROM lineitem)) AS BIGINT) AS duplicate_rows, CAST(count(*) - count(DISTINCT l_orderkey) AS BIGINT) AS duplicate_keys FROM lineitem")
+_LINEITEM = [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")]
+
+
+@query("overview", "SELECT CAST(count(*) AS BIGINT) AS rows, 11 AS columns, 8 AS numeric_columns, 3 AS other_columns, CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT) AS duplicate_rows, CAST(count(*) - count(DISTINCT l_orderkey) AS BIGINT) AS duplicate_keys FROM lineitem")
 def _(spark, d):
-    return profile.overview(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_linestatus"), "l_orderkey")
+    return profile.overview(spark.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey")
 
 
-@query("dtypes", " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS dtype, CAST(count({c}) AS BIGINT) AS non_null, CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_values FROM lineitem" for c, t in (("l_orderkey", "bigint"), ("l_quantity", "double"), ("l_linestatus", "string"))))
+@query("dtypes", " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{t}' AS dtype, CAST(count({c}) AS BIGINT) AS non_null, CAST(count(DISTINCT {c}) AS BIGINT) AS distinct_values FROM lineitem" for c, t in _LINEITEM))
 def _(spark, d):
-    return profile.dtypes(spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_quantity", "l_linestatus"))
+    return profile.dtypes(spark.read.parquet(f"{d}/lineitem.parquet"))
 
 
 @query("missingness", " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(count(*) FILTER ({c} IS NULL) AS BIGINT) AS missing_count, round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 4) AS missing_percent FROM feat" for c in CORE))
@@ -351,11 +323,6 @@ def _(spark, d):
     return profile.boxplot(job_features(spark, d), _EDA)
 
 
-@query("scatter_sample")
-def _(spark, d):
-    return profile.scatter(job_features(spark, d), "plan_cpu_mean", "runtime_log", "job_name", 1000)
-
-
 # -- preparation -----------------------------------------------------------------------------------------------------
 
 
@@ -413,12 +380,6 @@ def _(spark, d):
     return rounded(prepare.feature_stats(prepare.complete_cases(job_features(spark, d)), CORE))
 
 
-@query("scaling_audit")
-def _(spark, d):
-    a = prepare.scaling_audit(matrix(spark, d), CORE, "robust").withColumn("matrix", F.lit("robust"))
-    return a.unionByName(prepare.scaling_audit(matrix(spark, d, "standard"), CORE, "standard").withColumn("matrix", F.lit("standard")))
-
-
 @query("vif")
 def _(spark, d):
     return prepare.vif(matrix(spark, d), CORE)
@@ -437,21 +398,6 @@ def _(spark, d):
     return prepare.ratio_review(job_features(spark, d))
 
 
-@query("provenance")
-def _(spark, d):
-    return prepare.provenance(job_features(spark, d), CORE)
-
-
-@query("feature_dictionary", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x + "'" for x in row) + ")" for row in prepare.DICTIONARY) + ") t(feature, axis, rationale, status)")
-def _(spark, d):
-    return prepare.feature_dictionary(spark)
-
-
-@query("decision_report")
-def _(spark, d):
-    return prepare.decision_report(job_features(spark, d), "job_name")
-
-
 # -- sampling, windows, selection --------------------------------------------------------------------------------------
 
 _EDGES = "(SELECT " + ", ".join(f"quantile_cont(plan_cpu_mean, {i / 5}) AS e{i}" for i in range(1, 5)) + " FROM feat)"
@@ -467,17 +413,6 @@ def _(spark, d):
     return sampling.rank_bucket(job_features(spark, d).select("job_name", "plan_cpu_mean"), "plan_cpu_mean", "job_name", "bucket").select("bucket", "job_name")
 
 
-@query("stratified_sample")
-def _(spark, d):
-    rows = sampling.qcut(job_features(spark, d), "plan_cpu_mean", "bucket").select("job_name", "job_status", "bucket")
-    return sampling.stratified_sample(rows, "job_name", ["job_status", "bucket"], 100)
-
-
-@query("hash_sample")
-def _(spark, d):
-    return sampling.hash_sample(job_master(spark, d).select("job_name", "job_status"), "job_name", 100)
-
-
 _STATUS_MEAN = "SELECT job_status, avg(plan_cpu_mean) AS v FROM master GROUP BY job_status"
 
 
@@ -487,42 +422,6 @@ def _(spark, d):
     return means.select("job_status", F.round(evaluate.average_rank_pct("v"), 4).alias("rank_pct"))
 
 
-#: A constant sweep with a plateau, a spike, an edge, a failed fit and a lone configuration.
-SWEEP = [
-    ("A", 100, 5, 10, 0.10, 0.40, None), ("A", 100, 10, 10, 0.12, 0.45, None), ("A", 100, 20, 11, 0.14, 0.50, None),
-    ("A", 200, 5, 5, 0.20, 0.20, None), ("A", 200, 10, 9, 0.40, 0.90, None), ("A", 200, 20, 5, 0.20, 0.30, None),
-    ("B", 100, 5, 7, 0.10, 0.30, None), ("B", 100, 10, None, None, None, "failed"), ("B", 100, 20, 7, 0.15, 0.30, None), ("B", 300, 5, 4, 0.35, 0.60, None),
-]
-_SWEEP_SQL = "(VALUES " + ", ".join("('%s', %d, %d, %s, %s, %s, %s)" % (a, b, c, f"CAST({'NULL' if e is None else e} AS BIGINT)", f"CAST({'NULL' if f is None else f} AS DOUBLE)", f"CAST({'NULL' if g is None else g} AS DOUBLE)", "CAST(NULL AS VARCHAR)" if h is None else f"'{h}'") for a, b, c, e, f, g, h in SWEEP) + ") s(region, min_cluster_size, min_samples, cluster_count, noise_fraction, dbcv, error)"
-
-
-def _sweep(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SWEEP, "region string, min_cluster_size int, min_samples int, cluster_count long, noise_fraction double, dbcv double, error string")
-
-
-_SIDE = lambda s: f"dbcv > {s}d + 0.25 AND (abs(noise_fraction - {s}n) >= 0.10 OR abs(dbcv - {s}d) >= 0.25)"
-_FLAT = lambda s: f"abs(cluster_count - {s}c) <= 1 AND abs(noise_fraction - {s}n) <= 0.05 AND abs(dbcv - {s}d) <= 0.15"
-_NEIGH = "SELECT *, " + ", ".join(f"{f}({c}) OVER w AS {s}{n}" for s, f in (("p", "lag"), ("q", "lead")) for c, n in (("cluster_count", "c"), ("noise_fraction", "n"), ("dbcv", "d"), ("min_samples", "m"))) + f" FROM {_SWEEP_SQL} WINDOW w AS (PARTITION BY region, min_cluster_size ORDER BY min_samples)"
-
-
-@query("neighbor_flags", f"SELECT region, min_cluster_size, min_samples, CASE WHEN error IS NOT NULL OR (pm IS NULL AND qm IS NULL) OR (pm IS NOT NULL AND pd IS NULL) OR (qm IS NOT NULL AND qd IS NULL) THEN 'INDETERMINATE' WHEN ({_SIDE('p')}) OR ({_SIDE('q')}) THEN 'SPIKE' WHEN pm IS NULL OR qm IS NULL THEN 'ONE_SIDED' WHEN {_FLAT('p')} AND {_FLAT('q')} THEN 'PLATEAU' ELSE 'NONE' END AS neighbour_status FROM ({_NEIGH})")
-def _(spark, d):
-    return selection.neighbour_flags(_sweep(spark)).select("region", "min_cluster_size", "min_samples", "neighbour_status")
-
-
-_RANK = [("dbcv", False), ("noise_fraction", True), ("min_cluster_size", True), ("min_samples", True)]
-
-
-@query("config_ranking", f"SELECT region, min_cluster_size, min_samples, CAST(row_number() OVER (ORDER BY dbcv DESC NULLS LAST, noise_fraction NULLS LAST, min_cluster_size, min_samples) AS INTEGER) AS rank FROM {_SWEEP_SQL} WHERE error IS NULL AND region IN ('A', 'B')")
-def _(spark, d):
-    return selection.rank_configurations(_sweep(spark), _RANK, ["A", "B"]).select("region", "min_cluster_size", "min_samples", "rank")
-
-
-@query("config_top3", f"SELECT region, min_cluster_size, min_samples FROM {_SWEEP_SQL} WHERE error IS NULL ORDER BY dbcv DESC NULLS LAST, noise_fraction, min_cluster_size, min_samples LIMIT 3")
-def _(spark, d):
-    return selection.top_configurations(_sweep(spark), 3, _RANK).select("region", "min_cluster_size", "min_samples")
-
-
 # -- semantic tags: clusters played by the customer's segment -----------------------------------------------------------
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -634,18 +533,6 @@ def _(spark, d):
     return cluster.fit_density(matrix(spark, d), "job_name", CORE)
 
 
-@query("kmeans_assign")
-def _(spark, d):
-    m = matrix(spark, d, "standard").cache()
-    return cluster.predict(cluster.fit_kmeans(m, CORE, k=5, starts=3), m, "job_name", CORE)
-
-
-@query("gmm_assign")
-def _(spark, d):
-    m = matrix(spark, d, "standard").cache()
-    return cluster.predict(cluster.fit_gmm(m, CORE, k=3, starts=2), m, "job_name", CORE)
-
-
 @query("pca_2d")
 def _(spark, d):
     return cluster.pca_2d(matrix(spark, d), "job_name", CORE)
@@ -658,24 +545,9 @@ def _(spark, d):
     return spark.createDataFrame([tuple(m[k] for k in ("silhouette", "davies_bouldin", "calinski_harabasz", "dbcv", "dbcv_status"))], "silhouette double, davies_bouldin double, calinski_harabasz double, dbcv double, dbcv_status string")
 
 
-@query("config_sweep")
-def _(spark, d):
-    return cluster.sweep(matrix(spark, d), "job_name", CORE, [("A", 8, 3), ("A", 8, 5), ("B", 15, 3)]).drop("elapsed_seconds")
-
-
-@query("stability")
-def _(spark, d):
-    m = matrix(spark, d).cache()
-    return cluster.stability(m, "job_name", CORE, cluster.fit_density(m, "job_name", CORE), times=3, least_rows=20).drop("elapsed_seconds")
-
-
-@query("method_comparison")
-def _(spark, d):
-    m = matrix(spark, d).cache()
-    labels = {"density": cluster.fit_density(m, "job_name", CORE).cache(), "kmeans": cluster.predict(cluster.fit_kmeans(m, CORE, k=5, starts=2), m, "job_name", CORE)}
-    return cluster.compare_methods(m, "job_name", CORE, labels, "density")
-
-
 @query("events_windowed", "SELECT date_trunc('day', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS events, round(avg(CASE WHEN value BETWEEN 0 AND 100 THEN value END), 4) AS mean_value, CAST(count(*) FILTER (value < 0 OR value > 100) AS BIGINT) AS outliers FROM events GROUP BY 1, 2")
 def _(spark, d):
     return events.windowed(spark.read.parquet(f"{d}/events.parquet")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+from . import audit_queries, choice_queries  # noqa: E402,F401  they add their queries

@@ -1,7 +1,7 @@
 """The trace's layers played by the star-schema tables, as DataFrames and as SQL of the same content.
 
 job = customer, task = orders, instance = lineitem of a task, sensor = events, group_tag = part, machine_spec = two
-thirds of supplier. Negative plans, times out of order, values over 100 and missing machines exercise the rules.
+thirds of supplier, machine_metric = most of lineitem. Negative plans, times out of order, values over 100 and missing machines exercise the rules.
 """
 
 from __future__ import annotations
@@ -31,10 +31,11 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     task = orders.select(text("o_custkey").alias("job_name"), text("o_orderkey").alias("task_name"), number("o_orderkey % 6 - 1").alias("inst_num"), status.alias("status"), _day("o_orderdate").alias("start_time"), (_day("o_orderdate") + F.floor("o_totalprice") - 20000).alias("end_time"), (F.col("o_totalprice") / 100).alias("plan_cpu"), number("o_orderkey % 64").alias("plan_mem"), number("(o_orderkey % 5 - 1) * 25").alias("plan_gpu"), F.col("o_orderpriority").alias("gpu_type"))
     line = read("lineitem").join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     instance = line.select(text("o_custkey").alias("job_name"), text("l_orderkey").alias("task_name"), text("l_partkey").alias("inst_id"), F.col("l_linestatus").alias("status"), _day("o_orderdate").alias("start_time"), _day("l_shipdate").alias("end_time"), text("l_suppkey").alias("machine"), text("l_linenumber").alias("worker_name"))
-    sensor = read("events").select(text("user_id").alias("job_name"), F.expr("cast(event_id % 7 as string)").alias("task_name"), F.expr("cast(event_id % 3 as string)").alias("inst_id"), F.col("event_type").alias("gpu_name"), (F.col("value") * 2 - 20).alias("cpu_usage"), F.col("value").alias("gpu_wrk_util"), (F.col("value") / 10).alias("avg_mem"), (F.col("value") / 5).alias("max_mem"), number("event_id % 32").alias("avg_gpu_wrk_mem"), number("event_id % 48").alias("max_gpu_wrk_mem"), number("event_id % 1000").alias("read"), number("event_id % 500").alias("write"), number("event_id % 10").alias("read_count"), number("event_id % 5").alias("write_count"))
+    sensor = read("events").select(text("user_id").alias("job_name"), F.expr("cast(event_id % 7 as string)").alias("task_name"), F.expr("cast(event_id % 3 as string)").alias("inst_id"), F.expr("case when event_id % 13 > 0 then cast(event_id % 4 as string) end").alias("worker_name"), F.col("event_type").alias("gpu_name"), (F.col("value") * 2 - 20).alias("cpu_usage"), F.col("value").alias("gpu_wrk_util"), (F.col("value") / 10).alias("avg_mem"), (F.col("value") / 5).alias("max_mem"), number("event_id % 32").alias("avg_gpu_wrk_mem"), number("event_id % 48").alias("max_gpu_wrk_mem"), number("event_id % 1000").alias("read"), number("event_id % 500").alias("write"), number("event_id % 10").alias("read_count"), number("event_id % 5").alias("write_count"))
     group = read("part").select(text("p_partkey").alias("inst_id"), F.col("p_brand").alias("user"), F.when(F.expr("p_partkey % 4 = 0"), "unknown").otherwise(F.col("p_type")).alias("workload"))
     spec = read("supplier").filter("s_suppkey % 3 <> 0").select(text("s_suppkey").alias("machine"), F.col("s_acctbal").alias("cap_cpu"))
-    return {"job": job, "task": task, "instance": instance, "sensor": sensor, "group_tag": group, "machine_spec": spec}
+    metric = line.filter("l_linenumber <> 3").select(text("l_linenumber").alias("worker_name"), text("l_suppkey").alias("machine"), F.when(F.expr("l_orderkey % 7 > 0"), _day("o_orderdate")).alias("start_time"), (_day("l_shipdate") - 30 * 86400).alias("end_time"))
+    return {"machine_metric": metric, "job": job, "task": task, "instance": instance, "sensor": sensor, "group_tag": group, "machine_spec": spec}
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -80,10 +81,12 @@ task AS (SELECT CAST(o_custkey AS VARCHAR) AS job_name, CAST(o_orderkey AS VARCH
 instance AS (SELECT CAST(o_custkey AS VARCHAR) AS job_name, CAST(l_orderkey AS VARCHAR) AS task_name, CAST(l_partkey AS VARCHAR) AS inst_id, l_linestatus AS status,
   {_D.format("o_orderdate")} AS start_time, {_D.format("l_shipdate")} AS end_time, CAST(l_suppkey AS VARCHAR) AS machine, CAST(l_linenumber AS VARCHAR) AS worker_name
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-sensor AS (SELECT CAST(user_id AS VARCHAR) AS job_name, CAST(event_id % 7 AS VARCHAR) AS task_name, CAST(event_id % 3 AS VARCHAR) AS inst_id, event_type AS gpu_name,
+sensor AS (SELECT CAST(user_id AS VARCHAR) AS job_name, CAST(event_id % 7 AS VARCHAR) AS task_name, CAST(event_id % 3 AS VARCHAR) AS inst_id, CASE WHEN event_id % 13 > 0 THEN CAST(event_id % 4 AS VARCHAR) END AS worker_name, event_type AS gpu_name,
   value * 2 - 20 AS cpu_usage, value AS gpu_wrk_util, value / 10 AS avg_mem, value / 5 AS max_mem, CAST(event_id % 32 AS DOUBLE) AS avg_gpu_wrk_mem,
   CAST(event_id % 48 AS DOUBLE) AS max_gpu_wrk_mem, CAST(event_id % 1000 AS DOUBLE) AS read, CAST(event_id % 500 AS DOUBLE) AS write,
   CAST(event_id % 10 AS DOUBLE) AS read_count, CAST(event_id % 5 AS DOUBLE) AS write_count FROM events),
+metric AS (SELECT CAST(l_linenumber AS VARCHAR) AS worker_name, CAST(l_suppkey AS VARCHAR) AS machine, CASE WHEN l_orderkey % 7 > 0 THEN {_D.format("o_orderdate")} END AS start_time,
+  {_D.format("l_shipdate")} - 30 * 86400 AS end_time FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <> 3),
 grp AS (SELECT CAST(p_partkey AS VARCHAR) AS inst_id, p_brand AS "user", CASE WHEN p_partkey % 4 = 0 THEN 'unknown' ELSE p_type END AS workload FROM part),
 spec AS (SELECT CAST(s_suppkey AS VARCHAR) AS machine, s_acctbal AS cap_cpu FROM supplier WHERE s_suppkey % 3 <> 0),
 task_c AS (SELECT job_name, task_name, CASE WHEN inst_num >= 0 THEN inst_num END AS inst_num, status, start_time, end_time, plan_cpu, plan_mem,

@@ -54,9 +54,11 @@ def validate_all(spark: SparkSession, folder: str, tables: Iterable[str] = tuple
 
 
 def read_raw(spark: SparkSession, table: str, path: str) -> DataFrame:
-    """The file as strings, with ``ordinal`` in file order, so that ties between rows can be settled by position."""
+    """The files as strings, with ``ordinal`` (file, start of the block, row of the task), so that ties between rows can be
+    settled by position: files in order of name, blocks in order of place, rows in order within a block."""
     raw = spark.read.schema(raw_schema(table)).option("header", False).option("escape", '"').csv(path)
-    return raw.withColumn("ordinal", F.monotonically_increasing_id())
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return raw.withColumn("ordinal", place)
 
 
 def read_table(spark: SparkSession, table: str, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 #: On the smallest tables a correlation or moment may not exist; engines say NaN or null.
-MODELS = ["hdbscan_assign", "kmeans_assign", "pca_2d", "vif", "stratified_sample", "hash_sample", "scatter_sample", "provenance"]
+MODELS = ["hdbscan_assign", "kmeans_assign", "pca_2d", "vif", "decision_report"]
 
 
 @pytest.fixture(scope="module")

@@ -67,6 +67,16 @@ def test_raw_files(spark, tmp_path):
         readers.require_columns(spark.range(1), ["x"])
 
 
+def test_order_of_files(spark, tmp_path):
+    """A small first file may be read by a later task than a large second one; its rows still come first."""
+    folder = tmp_path / "job"
+    folder.mkdir()
+    (folder / "a.csv").write_text("j0,i,u,S,1,2\nj1,i,u,S,1,2\n")
+    (folder / "b.csv").write_text("".join(f"k{i:05d},i,u,S,1,2\n" for i in range(3000)))
+    names = [r.job_name for r in readers.read_raw(spark, "job", str(folder)).orderBy("ordinal").collect()]
+    assert names == ["j0", "j1", *(f"k{i:05d}" for i in range(3000))]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, "a")], "id int, x string")
     sinks.write_csv(df, str(tmp_path / "c.csv"), ["id"])
@@ -119,14 +129,145 @@ def test_samples_are_stable_and_exact(spark):
     assert 700 < sampling.share_sample(df, "id", 0.8).count() < 900
 
 
-def test_neighbour_flags_and_selection(spark):
-    schema = "region string, min_cluster_size int, min_samples int, cluster_count long, noise_fraction double, dbcv double, error string"
-    df = spark.createDataFrame([("A", 1, 1, 5, 0.1, 0.2, None)], schema)
-    assert selection.neighbour_flags(df).first().neighbour_status == "INDETERMINATE"
-    more = df.withColumns({c: F.lit(0.5) for c in ("largest_cluster_fraction", "persistence_min", "mean_probability", "davies_bouldin", "calinski_harabasz", "silhouette")})
-    assert selection.select_final(more).count() == 1 and selection.select_final(more.withColumn("noise_fraction", F.lit(0.9))).count() == 0
-    flagged = selection.structure_flags(more.withColumns({"number_of_clusters_below_1_percent": F.lit(0), "largest_cluster_fraction": F.lit(0.65)}))
-    assert flagged.first().structure_status == "CAUTION"
+FIT = "region string, min_cluster_size int, min_samples int, cluster_count long, noise_fraction double, dbcv double, error string"
+
+
+def flags(spark, rows):
+    found = selection.neighbour_flags(spark.createDataFrame(rows, FIT)).orderBy("min_samples").collect()
+    return [(r.plateau_flag, r.spike_flag, r.comparison_status, r.edge_config) for r in found]
+
+
+def test_neighbour_flags(spark):
+    unknown = ("INDETERMINATE", "INDETERMINATE", "INDETERMINATE")
+    assert flags(spark, [("A", 1, 1, 5, 0.1, 0.2, None)]) == [(*unknown, True)]
+    plateau = [("A", 1, 5, 10, 0.10, 0.40, ""), ("A", 1, 10, 11, 0.13, 0.45, None), ("A", 1, 20, 11, 0.15, 0.50, None)]
+    assert flags(spark, plateau) == [("YES", "NO", "ONE_SIDED", True), ("YES", "NO", "VALID", False), ("YES", "NO", "ONE_SIDED", True)]
+    spike = [("A", 1, 5, 5, 0.20, 0.20, None), ("A", 1, 10, 9, 0.40, 0.90, None), ("A", 1, 20, 5, 0.20, 0.30, None)]
+    assert flags(spark, spike) == [("NO", "NO", "ONE_SIDED", True), ("NO", "YES", "VALID", False), ("NO", "NO", "ONE_SIDED", True)]
+    failed = [("A", 1, 5, 7, 0.1, 0.3, None), ("A", 1, 10, None, None, None, "failed"), ("A", 1, 20, 7, 0.1, 0.3, None), ("A", 1, 30, 7, 0.1, 0.3, None)]
+    assert flags(spark, failed) == [(*unknown, True), ("NO", "NO", "VALID", False), (*unknown, False), ("YES", "NO", "ONE_SIDED", True)]
+
+
+def test_structure_and_final_choice(spark):
+    more = spark.createDataFrame([("A", 1, 1, 5, 0.1, 0.2, None)], FIT)
+    more = more.withColumns({c: F.lit(0.5) for c in ("persistence_median", "mean_probability", "davies_bouldin", "calinski_harabasz", "silhouette")})
+    more = more.withColumns({"number_of_clusters_below_1_percent": F.lit(0), "smallest_cluster_size": F.lit(100), "median_cluster_size": F.lit(100.0)})
+    assert selection.select_final(more).count() == 1
+    for column, value in (("noise_fraction", 0.31), ("number_of_clusters_below_1_percent", 3), ("dbcv", None), ("error", "x"), ("smallest_cluster_size", 99), ("median_cluster_size", 99.0), ("cluster_count", 0)):
+        kind = dict(more.dtypes)[column]
+        assert selection.select_final(more.withColumn(column, F.lit(value).cast(kind))).count() == 0, column
+    status = lambda largest, noise, tiny: selection.structure_flags(spark.createDataFrame([(largest, noise, tiny)], "largest_cluster_fraction double, noise_fraction double, number_of_clusters_below_1_percent int")).first().interpretability_status
+    assert [status(0.5, 0.1, 0), status(0.65, 0.9, 9), status(0.75, 0.1, 0), status(0.5, 0.31, 0), status(0.5, 0.1, 3), status(None, None, None)] == ["PASS", "CAUTION", "REVIEW", "REVIEW", "REVIEW", "PASS"]
+
+
+def test_grids():
+    assert [len(cluster.GRIDS[n][1]) for n in ("first", "second", "full")] == [23, 17, 6]
+    assert cluster.grid("full", 599_288) == cluster.GRIDS["full"][1] and ("A", 30, 2) in cluster.grid("first", 750)
+
+
+def test_stability_gates(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 0.1, (60, 2)), rng.normal(5, 0.1, (60, 2))])
+    df = spark.createDataFrame([(f"j{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(x)], "job_name string, a double, b double")
+    labels = cluster.fit_density(df, "job_name", ["a", "b"]).cache()
+    found = cluster.stability(df, "job_name", ["a", "b"], labels, times=2, population=100).collect()
+    assert all((r.population_size, r.resample_size) == (100, 80) and r.overlap_rows <= 50 for r in found)
+    tiny = cluster.stability(df, "job_name", ["a", "b"], labels, times=1, population=1).first()
+    assert tiny.error == "too few rows in the overlap"
+    summary = {r.measure: r for r in evaluate.stability_summary(spark.createDataFrame([(0.5, 0.4, 3, 0.1, None), (0.7, 0.4, 3, 0.1, None), (0.1, 0.1, 9, 0.9, "bad")], "ari double, ami double, cluster_count int, noise_fraction double, error string")).collect()}
+    assert (summary["ari"].n, summary["ari"].mean, summary["cluster_count"].mode) == (2, 0.6, 3.0)
+
+
+def test_outputs(spark, tmp_path):
+    from gaugewell.plans import outputs
+
+    outputs.save_all(spark, "/root/testdata/sf0.01", str(tmp_path))
+    master = readers.read_derived(spark, f"{tmp_path}/job_master.csv", ["job_name", "telemetry_coverage"])
+    assert master.count() == 1500 and readers.read_derived(spark, f"{tmp_path}/feature_dictionary.csv").count() == 21
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/report").collect()]
+    assert "DECISIONS" in lines and any(line.startswith("FAIL\tH. Temporal-shape support") for line in lines)
+
+
+def test_audit_grows_and_long_tables_say_so(spark, tmp_path):
+    for stage in ("one", "two"):
+        sinks.append_audit(sinks.audit(spark, [(stage, "rows", 3)]), str(tmp_path / "audit"))
+    assert {r.stage for r in spark.read.parquet(str(tmp_path / "audit")).collect()} == {"one", "two"}
+    sinks.report(spark, [("T", spark.range(7))], str(tmp_path / "r"), rows=5)
+    assert "... and 2 more rows" in [r.value for r in spark.read.text(str(tmp_path / "r")).collect()]
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    from pyspark.ml.clustering import KMeansModel
+
+    df = spark.createDataFrame([(i, float(i % 2)) for i in range(20)], "k int, x double")
+    model = cluster.fit_kmeans(df, ["x"], k=2, starts=2)
+    sinks.save_model(model, str(tmp_path / "m"))
+    again = sinks.load_model(KMeansModel, str(tmp_path / "m"))
+    one, two = (sorted(map(tuple, cluster.predict(m, df, "k", ["x"]).collect())) for m in (model, again))
+    assert one == two
+
+
+def test_cached_sample(spark, tmp_path):
+    df = spark.range(100).withColumnRenamed("id", "k")
+    one = sorted(r.k for r in sampling.cached_sample(df, "k", 10, str(tmp_path / "s")).collect())
+    assert one == sorted(r.k for r in sampling.cached_sample(df, "k", 10, str(tmp_path / "s")).collect()) and len(one) == 10
+    assert sampling.cached_sample(df, "k", 12, str(tmp_path / "s")).count() == 12
+
+
+def test_gates(spark):
+    from gaugewell.operators import master
+
+    jobs = spark.createDataFrame([("a", 1.0), ("b", None)], "job_name string, instance_runtime_hours_sum double")
+    assert master.validate(jobs).count() == 2
+    for bad in (jobs.unionByName(jobs), jobs.withColumn("instance_runtime_hours_sum", F.lit(-1.0))):
+        with pytest.raises(ValueError):
+            master.validate(bad)
+    with pytest.raises(ValueError):
+        integrity.merge_one_to_one(jobs, jobs.unionByName(jobs), ["job_name"])
+    assert integrity.merge_one_to_one(jobs, jobs.select("job_name"), ["job_name"]).count() == 2
+    with pytest.raises(ValueError):
+        prepare.validate_alignment(jobs, jobs.limit(1), "job_name")
+    assert prepare.validate_alignment(jobs, jobs, "job_name").count() == 2
+    flagged = profile.outlier_flags(spark.createDataFrame([(-1.0,), (5.0,)], "x double"), "x")
+    assert sorted(r.out_of_range for r in flagged.collect()) == [False, True]
+    assert prepare.excluded_cases(spark.createDataFrame([(1.0,), (None,), (float("nan"),)], "x double"), ["x"]).count() == 2
+
+
+def test_rank_bucket_over_ranges(spark):
+    rng = np.random.default_rng(2)
+    values = [None if v < 0.1 else float(round(v * 7)) for v in rng.random(500)]
+    df = spark.createDataFrame([(f"k{i:03d}", v) for i, v in enumerate(values)], "k string, v double").repartition(5)
+    order = sorted(range(500), key=lambda i: (values[i] is None, values[i] or 0, f"k{i:03d}"))
+    assert {r.k: r.b for r in sampling.rank_bucket(df, "v", "k", "b").collect()} == {f"k{i:03d}": n % 5 for n, i in enumerate(order)}
+
+
+def test_silhouette_and_dbcv_against_brute_force():
+    rng = np.random.default_rng(7)
+    x, labels = rng.normal(0, 1, (40, 3)) + np.repeat([[0, 0, 0], [4, 0, 0]], 20, 0), np.repeat([0, 1], 20)
+    dist = lambda a, b: float(np.sqrt(((a - b) ** 2).sum()))
+    scores = []
+    for i in range(40):
+        own = [dist(x[i], x[j]) for j in range(40) if j != i and labels[j] == labels[i]]
+        other = [dist(x[i], x[j]) for j in range(40) if labels[j] != labels[i]]
+        a, b = np.mean(own), np.mean(other)
+        scores.append((b - a) / max(a, b))
+    assert abs(evaluate.silhouette_of(x, labels) - np.mean(scores)) < 1e-8
+    groups = [np.flatnonzero(labels == c) for c in (0, 1)]
+    core = {i: np.mean([(1 / dist(x[i], x[j])) ** 3 for j in g if j != i]) ** (-1 / 3) for g in groups for i in g}
+    reach = lambda i, j: max(dist(x[i], x[j]), core[i], core[j])
+    sparse, inner = [], []
+    for g in groups:
+        joined, edges = {g[0]}, []
+        while len(joined) < len(g):
+            w, i, j = min((reach(i, j), i, j) for i in joined for j in g if j not in joined)
+            edges.append((w, i, j))
+            joined.add(j)
+        inside = {i for i in g if sum(i in e[1:] for e in edges) > 1}
+        inner.append(inside)
+        sparse.append(max(w for w, i, j in edges if i in inside and j in inside))
+    apart = min(reach(i, j) for i in inner[0] for j in inner[1])
+    expected = np.mean([(apart - s) / max(apart, s) for s in sparse])
+    assert abs(evaluate.dbcv_of(x, labels) - expected) < 1e-7
 
 
 def test_density_clusters_two_blobs(spark):

@@ -20,13 +20,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import slices, text_or_empty, trimmed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces whose codes a worker keeps (about 45 MB); beyond it starts anew, which costs time but changes no result.
 KEPT_PIECES = 150_000
 #: Bytes of text of one corpus.
-CORPUS_BYTES = 4 << 20
+CORPUS_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -239,7 +239,7 @@ def _narrow(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and ids (array of int) of each document; null and empty texts have no ids."""
     ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
-    return _narrow(docs).mapInArrow(_ids(ranks, pattern), "doc_id long, ids array<int>")
+    return _narrow(docs).mapInArrow(trimmed(_ids(ranks, pattern)), "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -258,7 +258,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
     ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
     names = "".join(f"`{c}` string, " for c in more)
     schema = f"doc_id long, {names}n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _narrow(docs, more).mapInArrow(_digests(ranks, pattern), schema)
+    return _narrow(docs, more).mapInArrow(trimmed(_digests(ranks, pattern)), schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

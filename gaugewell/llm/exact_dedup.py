@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, row_keyed, text_or_empty
+from .common import materialize, row_keyed, text_or_empty, trimmed
 
 #: Counters of each Misra-Gries summary and rows of the broadcast at most.
 COUNTERS = 64
@@ -37,7 +37,7 @@ def _summaries(k: int):
 
 def frequent_digests(rows: DataFrame, k: int = COUNTERS) -> DataFrame:
     """At most ``k`` digests, with every one that more than 1/(k+1) of the rows have among them."""
-    each = rows.select("digest").mapInArrow(_summaries(k), "digest binary, n long")
+    each = rows.select("digest").mapInArrow(trimmed(_summaries(k)), "digest binary, n long")
     return each.groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(k).select("digest")
 
 

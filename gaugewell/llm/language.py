@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, slices, utf8
+from .common import SLICE_BYTES, slices, trimmed, utf8
 
 #: Buckets of trigrams, added to each count, iterations of a fit.
 BUCKETS, SMOOTHING, ITERATIONS = 1 << 15, 0.1, 10
@@ -232,7 +232,7 @@ def train(docs: DataFrame) -> Model:
     """A model from every row of ``docs`` with text and lang, of all languages. Counts are summed on the executors; the
     driver gets those that are not 0, at most BUCKETS for each language however long the corpus is."""
     rows = docs.filter("text is not null and lang is not null").select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    counts = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(trimmed(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.filter("n > 0").toArrow()
     names = table.column("lang").combine_chunks().dictionary_encode() if table.num_rows else pa.array([], pa.string()).dictionary_encode()
     known = names.dictionary.to_pylist()
@@ -276,13 +276,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     whole; repeated rows get equal results. Only the text is used.
     """
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), *_prepared())
-    return rows.mapInArrow(_predict(model, False), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(_predict(model, False)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that have a language, all columns, with the predicted language as ``lang`` if they have such
     a column; those that would be ``und`` (null text, no letter) go. Repeated rows and null ids are rows like others."""
-    return docs.select("*", *_prepared()).mapInArrow(_predict(model, True), docs.schema)
+    return docs.select("*", *_prepared()).mapInArrow(trimmed(_predict(model, True)), docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

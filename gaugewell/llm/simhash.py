@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, row_keyed, slices
+from .common import Words, materialize, row_keyed, slices, trimmed
 
 #: Bits that may differ, words of a shingle, seed of XXH64 (fixed values of the contract); fingerprints of a tile, about.
 RADIUS, SHINGLE, SEED, TILE = 3, 3, 42, 2048
@@ -65,7 +65,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(keyed: DataFrame) -> DataFrame:
     """file, index and doc_id of each row, as ``row_keyed`` gives it, and the fingerprint as a signed long."""
     rows = keyed.select("file", "index", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "file long, index long, doc_id long, mark long")
+    return rows.mapInArrow(trimmed(_fingerprint_batches), "file long, index long, doc_id long, mark long")
 
 
 def _segment(i: int):
@@ -153,7 +153,7 @@ def links(marks: DataFrame) -> DataFrame:
     same = (F.col("place") == F.col("p")) & (F.col("cut") == F.col("c"))
     pairs = pairs.join(tiles, ["place", "cut"]).join(left, ["p", "c"])
     pairs = pairs.select("a", F.when(~same, F.col("members")).alias("b"), same.alias("same"))
-    return pairs.mapInArrow(_compare, "x long, y long")
+    return pairs.mapInArrow(trimmed(_compare), "x long, y long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -132,24 +132,35 @@ def _ranked(rows: DataFrame, words: bool) -> DataFrame:
     return rows.drop("part", "n0", "w0")
 
 
+def _source() -> Column:
+    return F.col("doc.source").cast("string").alias("source")
+
+
+def _order(seed: int) -> Column:
+    return F.xxhash64("doc.doc_id", F.coalesce("doc.text", F.lit("")), F.lit(seed)).alias("order")
+
+
+def _placed(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` (source, order, ...) with position and block in place of source."""
+    known = sources.select(F.col("source").alias("of"), "position", "blocks")
+    rows = rows.join(known, rows["source"].eqNullSafe(known["of"])).drop("of", "source")
+    return rows.withColumn("block", F.pmod("order", "blocks")).drop("blocks")
+
+
 def plan(keyed: DataFrame, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, sources, draws) of the mix of ``keyed``, as ``row_keyed`` gives it.
 
     rows: file, index, doc_id, size, order, position, block for each document; sources: source, position, source_size,
-    target; draws: position, block, epoch, shard, partial, fill, one row for each time that a shard draws a block.
+    target, blocks; draws: position, block, epoch, shard, partial, fill, one row for each time that a shard draws a block.
     """
     spark = keyed.sparkSession
-    order = F.xxhash64("doc.doc_id", F.coalesce("doc.text", F.lit("")), F.lit(seed))
-    rows = keyed.select("file", "index", "doc.doc_id", F.col("doc.source").cast("string").alias("source"), word_count("doc.text").alias("size"), order.alias("order"))
-    rows = materialize(rows)
+    rows = materialize(keyed.select("file", "index", "doc.doc_id", _source(), word_count("doc.text").alias("size"), _order(seed)))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = numbered(materialize(sizes), [F.col("source").isNull(), F.col("source")], "position")
     blocks = F.greatest(F.lit(1), F.round(F.col("source_size") / block_words)).cast("long")
     bits = F.greatest(F.lit(0), F.ceil(F.log2(blocks / RANKED))).cast("int")
     sources = materialize(with_targets(sources).withColumns({"blocks": blocks, "bits": bits}))
-    known = sources.select(F.col("source").alias("of"), "position", "blocks")
-    rows = rows.join(known, rows.source.eqNullSafe(known.of)).drop("of", "source")
-    rows = materialize(rows.withColumn("block", F.pmod("order", "blocks")).drop("blocks"))
+    rows = materialize(_placed(rows, sources))
 
     # cumulative words over the permuted blocks of a source; the block in which the target falls is taken in part
     least = F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least")
@@ -232,11 +243,12 @@ def _chosen(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.loc[chosen]
 
 
-def drawn(rows: DataFrame, draws: DataFrame) -> DataFrame:
-    """file, index, shards for every document that a shard draws: the shards, one for each time.
+def drawn(to: DataFrame, rows: DataFrame, draws: DataFrame) -> DataFrame:
+    """``to`` (file, index, position, block, ...) with shards: the output shards that draw a row, one for each time.
 
     A block holds about ``block_words`` words whatever its source holds, so each partly taken block of a source is
-    a bounded group once documents without words, of which there may be any number, are left out.
+    a bounded group once documents without words, of which there may be any number, are left out. Rows meet draws by
+    block, of which there is one for thousands of words, and the few rows that are chosen one by one by place.
     """
     times = draws.filter("not partial").groupBy("position", "block").agg(F.sort_array(F.collect_list("shard")).alias("shards"))  # one for each epoch
     part = rows.filter("size > 0").join(draws.filter("partial"), ["position", "block"])
@@ -244,8 +256,8 @@ def drawn(rows: DataFrame, draws: DataFrame) -> DataFrame:
     part = part.select("file", "index", F.array("shard").alias("more"))
     none = F.array().cast("array<int>")
     all_ = F.concat(F.coalesce("shards", none), F.coalesce("more", none))
-    found = rows.join(times, ["position", "block"], "left").join(part, ["file", "index"], "left")
-    return found.select("file", "index", "doc_id", "size", "position", all_.alias("shards"))
+    found = to.join(materialize(times), ["position", "block"], "left").join(materialize(part), ["file", "index"], "left")
+    return found.withColumn("shards", all_).drop("more")
 
 
 def mix_counts(docs: DataFrame, **options) -> DataFrame:
@@ -259,7 +271,7 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
     taken with whole blocks, at 0 words. An empty table gives no rows.
     """
     rows, sources, draws = plan(row_keyed(docs), **options)
-    found = drawn(rows, draws).join(sources.select("position", "source_size", "target"), "position")
+    found = drawn(rows, rows, draws).join(sources.select("position", "source_size", "target"), "position")
     taken = (F.col("size") * F.size("shards")).cast("long")
     return found.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "shards")
 
@@ -267,12 +279,11 @@ def mix_counts(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: all columns of ``docs``, each row as often as ``mix_counts`` says, whatever repeats its id or text.
     A shard's rows lie in one partition, in random order."""
-    keyed = row_keyed(docs)
-    rows, _, draws = plan(keyed, **options)
-    taken = drawn(rows, draws).filter(F.size("shards") > 0).select("file", "index", "shards")
-    out = keyed.join(materialize(taken), ["file", "index"]).select("doc", "file", "index", F.posexplode("shards").alias("time", "shard"))
+    keyed, seed = row_keyed(docs), options.get("seed", 42)
+    rows, sources, draws = plan(keyed, **options)
+    wide = _placed(keyed.select("doc", "file", "index", _source(), _order(seed)), sources)
+    out = drawn(wide, rows, draws).select("doc", "file", "index", F.posexplode("shards").alias("time", "shard"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seed = options.get("seed", 42)
     out = out.repartition(partitions, "shard").sortWithinPartitions("shard", F.xxhash64("file", "index", "time", F.lit(seed)))
     return out.select("doc.*")
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces whose codes a worker keeps (about 25 MB); beyond it starts anew, which costs time but changes no result.
 KEPT_PIECES = 75_000
 #: Bytes of text of one corpus.
-CORPUS_BYTES = 1 << 20
+CORPUS_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -154,20 +156,31 @@ class MergeReplay:
         return self.bytes[np.repeat(self.starts[ids] - begin[:-1], lengths) + np.arange(begin[-1])], begin
 
 
+class _Numbers(dict):
+    """Numbers pieces in the order in which they are first looked up."""
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        return number
+
+
 class Encoder:
-    """Splits texts by a pattern and encodes each match separately, without special tokens."""
+    """Splits texts by a pattern and encodes each match separately, without special tokens. A split text is held as the
+    numbers of its pieces, 4 bytes each."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN, kept: int = KEPT_PIECES):
-        self.replay, self.split, self.kept, self.codes = MergeReplay(ranks), regex.compile(pattern).findall, kept, {}
+        self.replay, self.split, self.kept = MergeReplay(ranks), regex.compile(pattern).findall, kept
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.codes = _Numbers(), []
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(text) for text in texts]
-        codes = self.codes
-        new = list({p for pieces in split for p in pieces}.difference(codes))
-        if len(codes) + len(new) > self.kept:
-            codes = self.codes = {}
-            new = list({p for pieces in split for p in pieces})
-        codes.update(zip(new, self.replay.encode([p.encode() for p in new]), strict=True))
+        if len(self.codes) > self.kept:
+            self.forget()
+        number, codes = self.numbers.__getitem__, self.codes
+        split = [array("I", map(number, self.split(text))) for text in texts]
+        codes += self.replay.encode([p.encode() for p in islice(self.numbers, len(codes), None)])
         return [b"".join(map(codes.__getitem__, pieces)) for pieces in split]
 
 
@@ -180,7 +193,7 @@ def encoder_of(ranks: dict[bytes, int], pattern: str) -> Encoder:
     if key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[key] = Encoder(ranks, pattern)
-    _ENCODERS[key].codes = {}
+    _ENCODERS[key].forget()
     return _ENCODERS[key]
 
 
@@ -202,7 +215,7 @@ def _digests(ranks: dict[bytes, int], pattern: str):
                     "decoded_sha256": pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]),
                 }
                 yield pa.RecordBatch.from_pydict(out)
-        encoder.codes = {}
+        encoder.forget()
 
     return run
 
@@ -216,7 +229,7 @@ def _ids(ranks: dict[bytes, int], pattern: str):
                 offsets = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
                 ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
-        encoder.codes = {}
+        encoder.forget()
 
     return run
 

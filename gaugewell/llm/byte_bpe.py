@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import slices, text_or_empty, trimmed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces whose codes a worker keeps (about 25 MB); beyond it starts anew, which costs time but changes no result.
-KEPT_PIECES = 75_000
+#: Pieces whose codes a worker keeps (about 20 MB); beyond it starts anew, which costs time but changes no result.
+KEPT_PIECES = 60_000
 #: Bytes of text of one corpus.
-CORPUS_BYTES = 2 << 20
+CORPUS_BYTES = 3 << 19
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -197,11 +197,11 @@ def encoder_of(ranks: dict[bytes, int], pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _digests(ranks: dict[bytes, int], pattern: str):
+def _digests(ranks: dict[bytes, int], pattern: str, corpus_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(ranks, pattern)
         for batch in batches:
-            for part in slices(batch, limit=CORPUS_BYTES):
+            for part in slices(batch, limit=corpus_bytes):
                 coded = encoder.encode_batch(part.column("text").to_pylist())
                 counts = np.array([len(c) // 4 for c in coded])
                 text, begin = encoder.replay.decode(np.frombuffer(b"".join(coded), "<u4"))
@@ -261,9 +261,9 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(_texts(ranks), "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, more: tuple[str, ...] = ()) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, more: tuple[str, ...] = (), corpus_bytes: int = CORPUS_BYTES) -> DataFrame:
     """doc_id, the columns ``more`` as text, n_tokens, ids_sha256, decoded_sha256 of each document: its ids and the bytes
-    that they decode to.
+    that they decode to. Smaller corpora take less memory and more time, and give the same results.
 
     Null counts as empty: no tokens, digests of nothing. A text of any length is encoded whole. Every row is encoded
     for itself, so repeated rows and null ids get their own results. An empty table gives no rows.
@@ -271,7 +271,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
     ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
     names = "".join(f"`{c}` string, " for c in more)
     schema = f"doc_id long, {names}n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _narrow(docs, more).mapInArrow(trimmed(_digests(ranks, pattern)), schema)
+    return _narrow(docs, more).mapInArrow(trimmed(_digests(ranks, pattern, corpus_bytes)), schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Operator 6, byte-level BPE encoding and decoding by corpus-level merge replay.
 
-Each Arrow batch is one corpus: its distinct pieces lie end to end as byte tokens in one array with links to their
-neighbours. An inverted index maps the rank of a token pair to the positions where it stands; merges are replayed over
-all pieces at once in rank order, and a merge touches its two neighbours' entries only. Pieces that a worker has met
-before come from its table of codes, so frequent words are merged once. Nothing is shuffled.
+Texts are split and held as numbers of pieces until they make a corpus: as many texts of an Arrow batch as bring a given
+number of new different pieces. Those lie end to end as byte tokens in one array with links to their neighbours. An
+inverted index maps the rank of a token pair to the positions where it stands; merges are replayed over all pieces at
+once in rank order, and a merge touches its two neighbours' entries only. Pieces that a worker has met before come from
+its table of codes, so frequent words are merged once. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import base64
 import hashlib
 import heapq
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -22,13 +23,19 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty, trimmed
+from .common import SLICE_BYTES, slices, text_or_empty, trimmed
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Pieces whose codes a worker keeps (about 20 MB); beyond it starts anew, which costs time but changes no result.
+#: Pieces whose codes a worker keeps (about 15 MB); beyond it the last corpus's most frequent ones, half as many, stay,
+#: which costs time but changes no result.
 KEPT_PIECES = 60_000
-#: Bytes of text of one corpus.
-CORPUS_BYTES = 3 << 19
+#: New different pieces, and their characters, that end a corpus. Larger corpora take fewer steps and more memory.
+CORPUS_PIECES = 80_000
+CORPUS_CHARACTERS = 1 << 20
+#: Pieces, repeats included, that end a corpus: what its split texts take is 4 bytes each.
+CORPUS_LENGTH = 1 << 22
+#: Tokens whose bytes are looked up at once.
+DECODED = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,11 +43,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+NONE = np.int32(-1)
+
+
 class MergeReplay:
     """Codes of pieces under ``ranks``, the tokens' bytes by rank; every single byte must be a token."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.byte = ranks, np.array([ranks[bytes([b])] for b in range(256)])
+        self.ranks, self.byte = ranks, np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
@@ -57,13 +67,13 @@ class MergeReplay:
                     keys.append(left << 32 | right)
                     values.append(rank)
         order = np.argsort(keys)
-        self.keys, self.values = np.array([*keys, 1 << 62])[[*order, len(keys)]], np.array([*values, -1])[[*order, len(keys)]]
+        self.keys, self.values = np.array([*keys, 1 << 62])[[*order, len(keys)]], np.array([*values, -1], np.int32)[[*order, len(keys)]]
 
     def merged(self, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray:
         """Rank of each pair's merge, -1 if it has none."""
-        key = (left << 32) | right
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.values[at], -1)
+        key = np.asarray(left, np.int64) << 32 | right
+        at = self.keys.searchsorted(key)
+        return np.where(self.keys[at] == key, self.values[at], NONE)
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """Codes of each piece as little-endian unsigned 32-bit integers. A piece that is a token is that token, even
@@ -79,13 +89,14 @@ class MergeReplay:
         lengths = np.array([len(p) for p in pieces])
         first = np.cumsum(lengths) - lengths
         n = len(text)
-        owner = np.repeat(np.arange(len(pieces)), lengths)
+        place = np.int32 if n < 1 << 31 else np.int64
+        owner = np.repeat(np.arange(len(pieces), dtype=place), lengths)
         symbol = self.byte[text]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=place), np.arange(-1, n - 1, dtype=place)
         after[first + lengths - 1] = -1
         before[first] = -1
-        pair = np.full(n, -1)  # what the pair that starts here merges to; -2 where a token has been taken in
-        paired = np.flatnonzero(after >= 0)
+        pair = np.full(n, NONE)  # what the pair that starts here merges to; -2 where a token has been taken in
+        paired = np.flatnonzero(after >= 0).astype(place)
         pair[paired] = self.merged(symbol[paired], symbol[paired + 1])
 
         index: dict[int, list[np.ndarray]] = {}  # the inverted index: a pair's rank -> positions
@@ -151,16 +162,23 @@ class MergeReplay:
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all ``ids`` end to end, and where each id's bytes begin, with the end."""
-        lengths = self.lengths[ids]
-        begin = np.concatenate(([0], np.cumsum(lengths)))
-        return self.bytes[np.repeat(self.starts[ids] - begin[:-1], lengths) + np.arange(begin[-1])], begin
+        begin = np.concatenate(([0], np.cumsum(self.lengths[ids])))
+        out = np.empty(begin[-1], np.uint8)
+        for at in range(0, len(ids), DECODED):
+            some, start = ids[at : at + DECODED], begin[at : at + DECODED + 1]
+            inside = np.arange(start[0], start[-1]) + np.repeat(self.starts[some] - start[:-1], self.lengths[some])
+            out[start[0] : start[-1]] = self.bytes[inside]
+        return out, begin
 
 
 class _Numbers(dict):
-    """Numbers pieces in the order in which they are first looked up."""
+    """Numbers pieces in the order in which they are first looked up, and counts their characters."""
+
+    characters = 0
 
     def __missing__(self, piece: str) -> int:
         number = self[piece] = len(self)
+        self.characters += len(piece)
         return number
 
 
@@ -176,12 +194,39 @@ class Encoder:
         self.numbers, self.codes = _Numbers(), []
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.codes) > self.kept:
-            self.forget()
-        number, codes = self.numbers.__getitem__, self.codes
-        split = [array("I", map(number, self.split(text))) for text in texts]
+        return next(self.encode_parts([texts]))
+
+    def encode_parts(self, parts: Iterable[list[str]], pieces: int = CORPUS_PIECES) -> Iterator[list[bytes]]:
+        """Codes of the texts of each part, in order. Parts are merged together as one corpus, up to its limits."""
+        waiting: list[list[array]] = []
+        length = 0
+        for texts in parts:
+            number = self.numbers.__getitem__
+            waiting.append([array("I", map(number, self.split(text))) for text in texts])
+            length += sum(map(len, waiting[-1]))
+            if len(self.numbers) - len(self.codes) >= pieces or self.numbers.characters >= CORPUS_CHARACTERS or length >= CORPUS_LENGTH:
+                yield from self._corpus(waiting)
+                waiting, length = [], 0
+        yield from self._corpus(waiting)
+
+    def _corpus(self, waiting: list[list[array]]) -> Iterator[list[bytes]]:
+        codes = self.codes
         codes += self.replay.encode([p.encode() for p in islice(self.numbers, len(codes), None)])
-        return [b"".join(map(codes.__getitem__, pieces)) for pieces in split]
+        self.numbers.characters = 0
+        if len(codes) > self.kept:
+            self._keep_frequent(waiting)
+        for split in waiting:
+            yield [b"".join(map(codes.__getitem__, pieces)) for pieces in split]
+
+    def _keep_frequent(self, waiting: list[list[array]]) -> None:
+        counts = np.zeros(len(self.codes), np.int64)
+        for split in waiting:
+            for pieces in split:
+                np.add.at(counts, np.frombuffer(pieces, np.uint32), 1)
+        stay = np.argsort(-counts, kind="stable")[: self.kept // 2]
+        names = list(self.numbers)
+        self.numbers = _Numbers((names[i], n) for n, i in enumerate(stay.tolist()))
+        self.codes = [self.codes[i] for i in stay.tolist()]
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -197,41 +242,40 @@ def encoder_of(ranks: dict[bytes, int], pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _digests(ranks: dict[bytes, int], pattern: str, corpus_bytes: int):
+def _encoded(ranks: dict[bytes, int], pattern: str, corpus_pieces: int, output: Callable[[MergeReplay, pa.RecordBatch, list[bytes]], pa.RecordBatch]):
+    """For ``mapInArrow``: the output of each part of a batch and its texts' codes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(ranks, pattern)
         for batch in batches:
-            for part in slices(batch, limit=corpus_bytes):
-                coded = encoder.encode_batch(part.column("text").to_pylist())
-                counts = np.array([len(c) // 4 for c in coded])
-                text, begin = encoder.replay.decode(np.frombuffer(b"".join(coded), "<u4"))
-                ends = begin[np.cumsum(counts)]
-                starts = begin[np.cumsum(counts) - counts]
-                raw = text.tobytes()
-                out = {
-                    **{c: part.column(c) for c in part.schema.names if c != "text"},
-                    "n_tokens": pa.array(counts, pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(c).hexdigest() for c in coded]),
-                    "decoded_sha256": pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]),
-                }
-                yield pa.RecordBatch.from_pydict(out)
+            parts = list(slices(batch, limit=SLICE_BYTES))
+            texts = (part.column("text").to_pylist() for part in parts)
+            for part, coded in zip(parts, encoder.encode_parts(texts, corpus_pieces), strict=True):
+                yield output(encoder.replay, part, coded)
         encoder.forget()
 
     return run
 
 
-def _ids(ranks: dict[bytes, int], pattern: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(ranks, pattern)
-        for batch in batches:
-            for part in slices(batch, limit=CORPUS_BYTES):
-                coded = encoder.encode_batch(part.column("text").to_pylist())
-                offsets = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
-                ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
-        encoder.forget()
+def _digests(replay: MergeReplay, part: pa.RecordBatch, coded: list[bytes]) -> pa.RecordBatch:
+    counts = np.array([len(c) // 4 for c in coded])
+    text, begin = replay.decode(np.frombuffer(b"".join(coded), "<u4"))
+    raw = text.tobytes()
+    ends = begin[np.cumsum(counts)]
+    starts = begin[np.cumsum(counts) - counts]
+    out = {
+        **{c: part.column(c) for c in part.schema.names if c != "text"},
+        "n_tokens": pa.array(counts, pa.int64()),
+        "ids_sha256": pa.array([hashlib.sha256(c).hexdigest() for c in coded]),
+        "decoded_sha256": pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]),
+    }
+    return pa.RecordBatch.from_pydict(out)
 
-    return run
+
+def _ids(replay: MergeReplay, part: pa.RecordBatch, coded: list[bytes]) -> pa.RecordBatch:
+    offsets = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype(np.int32)
+    ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
 
 
 def _texts(ranks: dict[bytes, int]):
@@ -252,7 +296,7 @@ def _narrow(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and ids (array of int) of each document; null and empty texts have no ids."""
     ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
-    return _narrow(docs).mapInArrow(trimmed(_ids(ranks, pattern)), "doc_id long, ids array<int>")
+    return _narrow(docs).mapInArrow(trimmed(_encoded(ranks, pattern, CORPUS_PIECES, _ids)), "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -261,7 +305,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     return coded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(_texts(ranks), "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, more: tuple[str, ...] = (), corpus_bytes: int = CORPUS_BYTES) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, more: tuple[str, ...] = (), corpus_pieces: int = CORPUS_PIECES) -> DataFrame:
     """doc_id, the columns ``more`` as text, n_tokens, ids_sha256, decoded_sha256 of each document: its ids and the bytes
     that they decode to. Smaller corpora take less memory and more time, and give the same results.
 
@@ -271,7 +315,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
     ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
     names = "".join(f"`{c}` string, " for c in more)
     schema = f"doc_id long, {names}n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _narrow(docs, more).mapInArrow(trimmed(_digests(ranks, pattern, corpus_bytes)), schema)
+    return _narrow(docs, more).mapInArrow(trimmed(_encoded(ranks, pattern, corpus_pieces, _digests)), schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

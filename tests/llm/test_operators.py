@@ -410,6 +410,19 @@ def test_bpe_equals_the_library(batch):
         assert ENCODER.replay.decode(ids.astype(np.int64))[0].tobytes() == text.encode()
 
 
+def test_bpe_of_corpora_that_end_within_a_batch(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "DECODED", 7)
+    monkeypatch.setattr(byte_bpe, "CORPUS_CHARACTERS", 200)
+    parts = [[f"word{i % 7} x{i} " * 9, "", "the same words again"] for i in range(40)]
+    encoder = byte_bpe.Encoder(RANKS, kept=10)
+    for pieces in (1, 12, 10**6):
+        coded = list(encoder.encode_parts(parts, pieces))
+        assert len(encoder.codes) == len(encoder.numbers)
+        assert [[np.frombuffer(c, "<u4").tolist() for c in part] for part in coded] == [[LIBRARY.encode_ordinary(t) for t in part] for part in parts]
+        for c, t in zip(coded[3], parts[3]):
+            assert encoder.replay.decode(np.frombuffer(c, "<u4"))[0].tobytes() == t.encode()
+
+
 def test_lower_rank_after_a_merge():
     ranks = {bytes([b]): b + 10 for b in range(256)} | {b"xy": 300, b"xyx": 5, b"xyxy": 301}
     library = tiktoken.Encoding("odd", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})

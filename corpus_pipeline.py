@@ -33,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language, source, number of tokens and digests of ids and decoded bytes of every row of the mix."""
-    return byte_bpe.round_trip(docs, more=("lang", "source"), corpus_bytes=1 << 20)  # the JVM's heap is full after the mix
+    return byte_bpe.round_trip(docs, more=("lang", "source"), corpus_pieces=40_000)  # the JVM's heap is full after the mix
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("tokens", tokens)]

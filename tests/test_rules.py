@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugewell.functions import scalars as S
-from gaugewell.operators import clean, cluster, evaluate, features, integrity, prepare, profile, sampling, selection, semantic
+from gaugewell.operators import clean, cluster, evaluate, features, integrity, prepare, profile, sampling, selection, semantic, summaries
 from gaugewell.sources import readers, sinks
 from gaugewell.sources.schemas import COLUMNS
 from gaugewell.streaming import events
@@ -241,6 +241,17 @@ def test_rank_bucket_over_ranges(spark):
     assert {r.k: r.b for r in sampling.rank_bucket(df, "v", "k", "b").collect()} == {f"k{i:03d}": n % 5 for n, i in enumerate(order)}
 
 
+def test_jobs_with_equal_plans_tie_whatever_the_order_of_their_tasks(spark):
+    plans = {"a": [0.1, 0.2, 0.3], "b": [0.3, 0.2, 0.1], "c": [None], "d": [float("inf"), 1.0], "e": [1e300, -3.5]}  # a plain sum makes a's mean the larger
+    rows = [(j, f"t{i}", v) for j, values in plans.items() for i, v in enumerate(values)]
+    tasks = spark.createDataFrame(rows, "job_name string, task_name string, plan_cpu double").coalesce(1)
+    empty = {c: F.lit(None).cast(t) for c, t in (("status", "string"), ("inst_num", "double"), ("plan_mem", "double"), ("plan_gpu", "double"), ("gpu_type", "string"), ("start_time", "double"), ("end_time", "double"))}
+    means = summaries.task_summary(tasks.withColumns(empty)).select("job_name", "plan_cpu_mean")
+    found = {r.job_name: r.plan_cpu_mean for r in means.collect()}
+    assert found["a"] == found["b"] == pytest.approx(0.2, rel=1e-15) and found["c"] is None and found["d"] == float("inf") and found["e"] == 5e299
+    assert {r.job_name: r.b for r in sampling.rank_bucket(means, "plan_cpu_mean", "job_name", "b").collect()} == {"a": 0, "b": 1, "e": 2, "d": 3, "c": 4}
+
+
 def test_silhouette_and_dbcv_against_brute_force():
     rng = np.random.default_rng(7)
     x, labels = rng.normal(0, 1, (40, 3)) + np.repeat([[0, 0, 0], [4, 0, 0]], 20, 0), np.repeat([0, 1], 20)

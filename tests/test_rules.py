@@ -252,6 +252,18 @@ def test_jobs_with_equal_plans_tie_whatever_the_order_of_their_tasks(spark):
     assert {r.job_name: r.b for r in sampling.rank_bucket(means, "plan_cpu_mean", "job_name", "b").collect()} == {"a": 0, "b": 1, "e": 2, "d": 3, "c": 4}
 
 
+def test_matrix_of_fits_is_computed_once(spark):
+    from gaugewell.plans import choice_queries
+    from gaugewell.plans.registry import matrix
+
+    for kind in ("robust", "standard"):
+        kept = choice_queries.fit_matrix(spark, "/root/testdata/sf0.01", kind)
+        assert kept.storageLevel.useMemory and kept.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        one, two = ({r.job_name: r[1:] for r in df.collect()} for df in (kept, matrix(spark, "/root/testdata/sf0.01", kind)))
+        assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], abs=1e-9) for k in one)
+    spark.catalog.clearCache()
+
+
 def test_silhouette_and_dbcv_against_brute_force():
     rng = np.random.default_rng(7)
     x, labels = rng.normal(0, 1, (40, 3)) + np.repeat([[0, 0, 0], [4, 0, 0]], 20, 0), np.repeat([0, 1], 20)

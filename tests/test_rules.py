@@ -264,6 +264,22 @@ def test_matrix_of_fits_is_computed_once(spark):
     spark.catalog.clearCache()
 
 
+def test_sweep_shares_one_search_for_all_trees(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(c, s, (150, 3)) for c, s in ((0, 0.3), (3, 1.0), (9, 0.1))] + [rng.normal(0, 0.3, (1, 3)).repeat(20, 0)])
+    searches, whole = [], cluster._spanning_tree
+    monkeypatch.setattr(cluster, "_spanning_tree", lambda *a: searches.append(a[2]) or whole(*a))
+    trees = cluster._spanning_trees(spark, x, [2, 12, 5, 30, 5], 100)
+    assert searches == [30] and sorted(trees) == [2, 5, 12, 30]
+    for samples, tree in trees.items():
+        assert np.allclose(np.sort(tree[:, 2]), np.sort(whole(spark, x, samples, 100)[:, 2]), atol=1e-6) and len(tree) == len(x) - 1
+    df = spark.createDataFrame([(f"j{i:03d}", *map(float, v)) for i, v in enumerate(x)], "job_name string, a double, b double, c double")
+    grid, searches[:] = [("A", 20, 5), ("A", 40, 12), ("B", 20, 12)], []
+    one, two = ([{k: v for k, v in r.asDict().items() if k != "elapsed_seconds"} for r in cluster.sweep(df, "job_name", ["a", "b", "c"], grid, n).collect()] for n in (200, 1000))
+    assert searches == [12] and [r["error"] for r in one] == [None] * 3
+    assert all(a[k] == (pytest.approx(b[k], abs=1e-5) if isinstance(b[k], float) else b[k]) for a, b in zip(one, two, strict=True) for k in a)
+
+
 def test_silhouette_and_dbcv_against_brute_force():
     rng = np.random.default_rng(7)
     x, labels = rng.normal(0, 1, (40, 3)) + np.repeat([[0, 0, 0], [4, 0, 0]], 20, 0), np.repeat([0, 1], 20)

@@ -264,6 +264,25 @@ def test_matrix_of_fits_is_computed_once(spark):
     spark.catalog.clearCache()
 
 
+def test_complete_cases_drop_jobs_without_telemetry_before_the_join(spark):
+    from gaugewell.plans import choice_queries, trace
+
+    found = trace.complete_features(spark, "/root/testdata/sf0.01")
+    whole = prepare.complete_cases(trace.job_features(spark, "/root/testdata/sf0.01"))
+    columns = sorted(whole.columns)
+    one, two = ({r.job_name: tuple(r) for r in df.select("job_name", *columns).collect()} for df in (found, whole))
+    assert found.columns == whole.columns and one.keys() == two.keys()
+    for k in one:
+        assert all(a == (pytest.approx(b, rel=1e-9) if isinstance(b, float) else b) for a, b in zip(one[k], two[k], strict=True))
+    plan = found.select("runtime_log")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda i: len(plan[i]) - len(plan[i].lstrip(" :+-"))
+    join = next(i for i, line in enumerate(plan) if "Join Inner" in line and "l_orderkey" in line)
+    below = next((i for i in range(join + 1, len(plan)) if depth(i) <= depth(join)), len(plan))
+    assert any("LeftSemi" in line for line in plan[join:below])
+    assert choice_queries.fit_matrix(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 1
+    spark.catalog.clearCache()
+
+
 def test_sweep_shares_one_search_for_all_trees(spark, monkeypatch):
     rng = np.random.default_rng(11)
     x = np.concatenate([rng.normal(c, s, (150, 3)) for c, s in ((0, 0.3), (3, 1.0), (9, 0.1))] + [rng.normal(0, 0.3, (1, 3)).repeat(20, 0)])

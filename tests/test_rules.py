@@ -178,6 +178,49 @@ def test_stability_gates(spark):
     assert (summary["ari"].n, summary["ari"].mean, summary["cluster_count"].mode) == (2, 0.6, 3.0)
 
 
+def test_stability_searches_once_and_gives_each_resample_its_own_fit(spark, monkeypatch):
+    from gaugewell.operators import trees
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.3, (300, 2)), rng.normal(4, 0.5, (250, 2)), rng.uniform(-9, 9, (40, 2)), np.full((30, 2), 7.0)])
+    df = spark.createDataFrame([(f"j{i:04d}", *map(float, v)) for i, v in enumerate(x)], "job_name string, a double, b double").repartition(3).cache()
+    labels = cluster.fit_density(df, "job_name", ["a", "b"]).cache()
+    searches, search = [], trees.neighbours
+    monkeypatch.setattr(trees, "neighbours", lambda *a: searches.append(a) or search(*a))
+    found = sorted(cluster.stability(df, "job_name", ["a", "b"], labels, times=3, population=500).collect())
+    assert len(searches) == 1
+    whole, evaluation = sampling.population_and_evaluation(df, "job_name", 500)
+    for r, part in zip(found, sampling.resamples(whole, "job_name", 3), strict=True):
+        own = cluster.fit_density(part, "job_name", ["a", "b"]).cache()
+        s = evaluate.structure(own).first()
+        a = evaluate.agreement(labels.join(evaluation, "job_name", "left_semi"), own, "job_name", 5)
+        assert (r.resample_size, r.cluster_count, r.noise_fraction, r.error) == (400, s.cluster_count, s.noise_fraction, None)
+        assert (r.comparison_rows, r.ari, r.ami) == (a["comparison_rows"], a["ari"], pytest.approx(a["ami"])) and r.overlap_rows == part.join(evaluation, "job_name", "left_semi").count()
+    spark.catalog.clearCache()
+
+
+@pytest.mark.parametrize("copies", [0, 40])
+def test_trees_are_least_ones(copies):
+    from gaugewell.operators import trees
+
+    def brute(x, k):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        core = np.sort(d, 1)[:, k - 1]
+        return np.sort(evaluate.minimum_spanning_tree(np.maximum(d, np.maximum(core[:, None], core[None])))[:, 2])
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (150, 3)), rng.normal(30, 0.1, (90, 3)), rng.normal(-500, 3, (5, 3)), np.full((copies, 3), 2.0)])
+    tree, _ = trees.spanning_tree(None, x, 6, 32)
+    assert len(trees.forest(tree, len(x))) == len(x) - 1 and np.allclose(tree[:, 2], brute(x, 6), atol=1e-9)
+    assert (tree[:, 2] == 0).sum() == max(0, copies - 1)  # equal rows are no distance apart
+    p = trees.points(x, 32)
+    ids, core = trees.neighbours(None, p, 8, 8, 6)  # too few neighbours for some rows of a small resample
+    whole = trees.of_points(None, p, core, ids)
+    for share in (0.8, 0.2):
+        rows = np.flatnonzero(rng.random(len(x)) < share)
+        assert np.allclose(trees.resampled_tree(p, ids, whole, rows, 6)[:, 2], brute(x[rows], 6), atol=1e-9)
+
+
 def test_outputs(spark, tmp_path):
     from gaugewell.plans import outputs
 

@@ -221,6 +221,26 @@ def test_trees_are_least_ones(copies):
         assert np.allclose(trees.resampled_tree(p, ids, whole, rows, 6)[:, 2], brute(x[rows], 6), atol=1e-9)
 
 
+def test_methods_are_compared_on_rows_that_are_collected_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.6, (50, 2)) for c in (0, 3, 7)])
+    df = spark.createDataFrame([(f"j{i:03d}", *map(float, v), i // 50 - (i % 9 == 0) * (i // 50 + 1), i % 4) for i, v in enumerate(x)], "job_name string, a double, b double, one int, two int").cache()
+    labels = {n: df.select("job_name", F.col(n).alias("cluster_id")) for n in ("one", "two")}
+    expected = {}
+    for name, l in labels.items():
+        clustered = df.filter("one <> -1").select("job_name", "a", "b").join(l, "job_name")
+        whole = df.select("job_name", "a", "b").join(l.withColumn("cluster_id", F.when(F.col("cluster_id") == -1, 99).otherwise(F.col("cluster_id"))), "job_name")
+        expected |= {(name, p): (rows.count(), evaluate.metrics(rows, ["a", "b"], "job_name")) for p, rows in (("all", whole), ("clustered", clustered))}
+    monkeypatch.setattr(evaluate, "metrics", lambda *a: pytest.fail("a Spark job for each metric"))
+    found = cluster.compare_methods(df.select("job_name", "a", "b"), "job_name", ["a", "b"], labels, "one").collect()
+    assert len(found) == 4
+    for r in found:
+        n, m = expected[r.method, r.population]
+        assert (r.rows, r.evaluation, r.silhouette) == (n, "full_population", pytest.approx(m["silhouette"])) and r.davies_bouldin == pytest.approx(m["davies_bouldin"], abs=1.1e-4)
+        assert r.calinski_harabasz == pytest.approx(m["calinski_harabasz"], abs=1.1e-4)
+    spark.catalog.clearCache()
+
+
 def test_outputs(spark, tmp_path):
     from gaugewell.plans import outputs
 
